@@ -5,15 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .packing import pack
+from .simhash import near_duplicates
 from .token_counts import token_counts
 
 
+def op1_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
     return {
+        "op1_vector_packing": op1_vector_packing,
+        "op8_simhash": op8_simhash,
         "op9_token_counts": op9_token_counts,
     }
 
