@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .html_text import extract_main_text
 from .packing import pack
 from .simhash import near_duplicates
 from .token_counts import token_counts
@@ -22,11 +23,16 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
     return {
         "op1_vector_packing": op1_vector_packing,
         "op8_simhash": op8_simhash,
         "op9_token_counts": op9_token_counts,
+        "op10_html_text": op10_html_text,
     }
 
 
