@@ -3,18 +3,50 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from . import language, toxicity
+from .common import fold, table
 from .html_text import extract_main_text
+from .media import text_media_features
 from .packing import pack
 from .simhash import near_duplicates
 from .token_counts import token_counts
+from .topk import top_k
 
 
 def op1_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op3_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+def op5_language_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    network = language.train(docs.where(fold("doc_id", 5) != 0))
+    found = language.identify(docs, network)
+    return found.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.PuModel:
+    """Learned from the training fold of ``docs`` (doc_id, text) and its labels."""
+    learn = docs.select("doc_id", "text").where(fold("doc_id", 3) != 1)
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where("toxic is not null").where(fold("doc_id", 3) != 1)
+    return toxicity.train(learn.join(labels, "doc_id"), learn)
+
+
+def op6_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity_model(spark, sf_dir, docs))
+    return scored.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op7_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_media_features(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
 
@@ -30,11 +62,31 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_vector_packing": op1_vector_packing,
+        "op3_threshold_topk": op3_threshold_topk,
+        "op5_language_gru": op5_language_gru,
+        "op6_toxicity_pu": op6_toxicity_pu,
+        "op7_media_sniffing": op7_media_sniffing,
         "op8_simhash": op8_simhash,
         "op9_token_counts": op9_token_counts,
         "op10_html_text": op10_html_text,
     }
 
 
+ORACLES = {
+    "op3_threshold_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), i -> q.v[i] * c.v[i])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v)
+        ), r AS (
+            SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s
+        )
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+    """,
+}
+
+
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)
