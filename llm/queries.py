@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language, toxicity
+from .brown import score_texts
 from .common import fold, table
 from .html_text import extract_main_text
 from .media import text_media_features
@@ -20,6 +21,10 @@ def op1_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op2_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"), fold("doc_id", 7) == 2)
+
+
 def op3_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
@@ -67,6 +72,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_vector_packing": op1_vector_packing,
+        "op2_brown_classes": op2_brown_classes,
         "op3_threshold_topk": op3_threshold_topk,
         "op4_source_mixing": op4_source_mixing,
         "op5_language_gru": op5_language_gru,
