@@ -24,23 +24,25 @@ TILE = 4096
 STRIP = 256
 
 
-def shingle_fingerprint(text: str | None, words: int = 4) -> int:
-    """64-bit SimHash of the word shingles, each counted as often as it occurs."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 (seed 42) of every word shingle, repeats included; none for a text without a word."""
     import xxhash
 
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    found = (text or "").encode("utf-8").lower().split()
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(found)
     if len(found) <= words:
-        hashes = [xxhash.xxh64_intdigest(joined, 42)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
-        starts = (ends[: len(ends) - words + 1] - np.fromiter(map(len, found), np.int64, len(found))[: len(ends) - words + 1] - 1).tolist()
-        stops = (ends[words - 1 :] - 1).tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], 42) for a, b in zip(starts, stops)]
-    h = np.array(hashes, np.uint64)
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    ends = np.cumsum(sizes + 1) - 1
+    starts = (ends - sizes)[: len(found) - words + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[words - 1 :].tolist())], np.uint64)
+
+
+def majority_bits(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 65536):
         part = h[at : at + 65536]
@@ -48,6 +50,25 @@ def shingle_fingerprint(text: str | None, words: int = 4) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def shingle_fingerprint(text: str | None, words: int = 4) -> int:
+    """64-bit SimHash of the word shingles, each counted as often as it occurs."""
+    return majority_bits(shingle_hashes(text, words))
+
+
+def remixed(h: np.ndarray, turn: int) -> np.ndarray:
+    """Hashes independent of the given ones, for each ``turn`` (the finaliser of splitmix64)."""
+    h = h + np.uint64(turn * 0x9E3779B97F4A7C15 % 2**64)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def long_fingerprint(text: str | None, words: int, length: int) -> np.ndarray:
+    """SimHash of ``length`` 64-bit words; the first is the plain fingerprint of the distinct shingles."""
+    h = np.unique(shingle_hashes(text, words))
+    return np.array([majority_bits(remixed(h, i) if i else h) for i in range(length)], np.uint64)
+
+
 def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, fp``: the fingerprint's 64 bits as a long.  Null texts count as empty: zero."""
 
@@ -98,11 +119,13 @@ def part_counts(fp: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fp.view(np.uint16).reshape(-1, 4)).astype(np.int16)
 
 
-def links_between(a: np.ndarray, b: np.ndarray, radius: int, same: bool, into: Forest, offset: int) -> None:
+def links_between(a: np.ndarray, b: np.ndarray, radius: int, same: bool, into: Forest, offset: int, rests: tuple | None = None) -> None:
     """Link every pair (i, offset + j) at ``radius`` bits or fewer.
 
     A strip's fingerprints lie in a box of partial population counts; the sum
     of the gaps between two boxes bounds the distance of any pair from below.
+    ``rests`` has the longer fingerprints of both sides and how many of all
+    bits may differ; pairs within the radius must pass that too.
     """
 
     def strips(x):
@@ -118,40 +141,59 @@ def links_between(a: np.ndarray, b: np.ndarray, radius: int, same: bool, into: F
                 continue
             near = np.bitwise_count(x[:, None] ^ y[None, :]) <= radius
             p, q = np.nonzero(near)
+            if rests and len(p):
+                ra, rb, limit = rests
+                close = np.bitwise_count(x[p] ^ y[q]) + np.bitwise_count(ra[i + p] ^ rb[j + q]).sum(axis=1, dtype=np.int64) <= limit
+                p, q = p[close], q[close]
             if len(p):
                 into.link(i + p, offset + j + q)
 
 
-def forest_rows(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (as fingerprints) within ``a``, or between ``a`` and ``b``."""
-    nodes = a if b is None else np.concatenate([a, b])
+def forest_rows(a: np.ndarray, b: np.ndarray | None, radius: int, limit: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links within ``a``, or between ``a`` and ``b``.
+
+    Both are fingerprints, or rows of a node, its fingerprint and the words
+    that follow it, of which ``limit`` bits may differ.
+    """
+    rest = None
+    if a.ndim == 1:
+        nodes, fa, fb = (a if b is None else np.concatenate([a, b])), a, a if b is None else b
+    else:
+        other = a if b is None else b
+        nodes, fa, fb = (a[:, 0] if b is None else np.concatenate([a[:, 0], b[:, 0]])), a[:, 1].copy(), other[:, 1].copy()
+        rest = (a[:, 2:], other[:, 2:], limit)
     forest = Forest(len(nodes))
-    links_between(a, a if b is None else b, radius, b is None, forest, 0 if b is None else len(a))
+    links_between(fa, fb, radius, b is None, forest, 0 if b is None else len(a), rest)
     root = forest.roots(np.arange(len(nodes)))
     moved = np.nonzero(root != np.arange(len(nodes)))[0]
     return nodes[root[moved]], nodes[moved]
 
 
-def close_links(nodes: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
+def close_links(nodes: DataFrame, radius: int = 4, tile: int = TILE, limit: int | None = None, width: int = 1) -> DataFrame:
     """``a, b``: for distinct fingerprints ``fp``, links that join exactly what radius joins.
 
+    With ``limit`` the rows also have ``node`` and ``sketch``, the fingerprint
+    and the words after it; then nodes are linked, where both bounds hold.
+
     Tiles are cut at multiples of ``tile`` in the order of population counts.
     Every pair of tiles is a row of its own, so work spreads evenly however the
     fingerprints cluster; pairs of tiles that the counts rule out make no row.
     """
     spark = nodes.sparkSession
-    placed = nodes.select("fp", population("fp").alias("p"), population("fp", 0).alias("p0"), population("fp", 1).alias("p1"), population("fp", 2).alias("p2"))
+    body = F.col("fp") if limit is None else F.concat(F.unhex(F.lpad(F.hex("node"), 16, "0")), "sketch")
+    placed = nodes.select("fp", body.alias("body"), population("fp").alias("p"), population("fp", 0).alias("p0"), population("fp", 1).alias("p1"), population("fp", 2).alias("p2"))
     # A range sort keeps the order across partitions; a tile never spans two of them.
     ordered = placed.sort("p", "p0", "p1", "p2", "fp")
 
     def cut(batches):
         from pyspark import TaskContext
 
-        part, serial, rest = TaskContext.get().partitionId(), 0, np.zeros(0, np.int64)
+        part, serial = TaskContext.get().partitionId(), 0
+        rest = np.zeros(0, np.uint64) if limit is None else np.zeros((0, 2), np.uint64)
 
         def row(x):
             nonlocal serial
-            pop = np.bitwise_count(x.view(np.uint64))
+            pop = np.bitwise_count(x if limit is None else x[:, 1])
             serial += 1
             return [part * 2**32 + serial, int(pop.min()), int(pop.max()), x.tobytes()]
 
@@ -159,14 +201,21 @@ def close_links(nodes: DataFrame, radius: int = 4, tile: int = TILE) -> DataFram
             return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["tile", "least", "most", "body"])
 
         for batch in batches:
-            rest = np.concatenate([rest, batch.column(0).to_numpy(zero_copy_only=False)])
+            if limit is None:
+                more = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            elif len(batch):
+                more = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64).reshape(len(batch), -1).copy()
+                more[:, 0] = more[:, 0].byteswap()  # the node came as big-endian hex
+            else:
+                continue
+            rest = np.concatenate([rest, more]) if len(rest) else more
             while len(rest) >= tile:
                 yield batch_of([row(rest[:tile])])
                 rest = rest[tile:]
         if len(rest):
             yield batch_of([row(rest)])
 
-    tiles = stored(ordered.select("fp").mapInArrow(cut, "tile bigint, least bigint, most bigint, body binary"), "tiles")
+    tiles = stored(ordered.select("body").mapInArrow(cut, "tile bigint, least bigint, most bigint, body binary"), "tiles")
     x, y = tiles.alias("x"), tiles.select("tile", "least", "most").alias("y")
     # Which pairs to compare follows from the tiles' ranges of counts; only ids travel here.
     bits = F.explode(F.sequence(F.col("least"), F.col("most"))).alias("bit")
@@ -189,8 +238,10 @@ def close_links(nodes: DataFrame, radius: int = 4, tile: int = TILE) -> DataFram
     def compare(batches):
         for batch in batches:
             for i, j, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-                left = np.frombuffer(a, np.uint64)
-                low, high = forest_rows(left, None if i == j else np.frombuffer(b, np.uint64), radius)
+                left, right = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                if limit is not None:
+                    left, right = left.reshape(-1, width), right.reshape(-1, width)
+                low, high = forest_rows(left, None if i == j else right, radius, limit)
                 yield pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), pa.array(high.view(np.int64))], ["a", "b"])
 
     return work.mapInArrow(compare, "a bigint, b bigint")
@@ -241,11 +292,45 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: st
     return marked.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is their component's smallest, all columns kept.
+#: 64-bit words of the long fingerprint, and the bits of its first word that pairs to be looked at may differ in.
+LONG, REACH = 8, 18
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``<id>, component_id``: groups of texts whose shingle sets are ``similarity`` alike (Jaccard) or more.
+
+    Sets of Jaccard similarity J have a cosine of 2J / (1 + J) at like sizes,
+    and two SimHashes differ in arccos(cosine) / pi of their bits.  A long
+    fingerprint (512 bits) measures that share; its first word, compared tile
+    by tile as above, at a radius that J = 0.8 stays within, chooses the pairs.
+    Rows without a word are alike.  Nulls, ties and repeats as in ``near_duplicates``.
+    """
+    limit = int(64 * LONG * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+    def compute(batches):
+        for batch in batches:
+            found = [long_fingerprint(t, words, LONG) for t in batch.column(1).to_pylist()]
+            fp = np.array([f[0] for f in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), pa.array([f.tobytes() for f in found], pa.binary())], ["id", "fp", "sketch"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    marked = stored(texts.mapInArrow(compute, f"id {kind}, fp bigint, sketch binary").withColumn("node", F.xxhash64("sketch")), "sketches")
+    nodes = stored(marked.groupBy("node").agg(F.min("id").alias("least_id"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "sketch-nodes")
+    roots = components(close_links(nodes, REACH, limit=limit, width=LONG + 1))
+    placed = nodes.join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
+    smallest = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    classes = placed.join(smallest, "root").select("node", "component_id")
+    return marked.join(classes, "node").select(F.col("id").alias(id_col), "component_id")
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id is their group's smallest, all columns kept.
 
-    Rows with an id that repeats are copies of one document; one of them stays.
+    ``groups`` has the id and ``component_id`` of every row.  Rows with an id
+    that repeats are copies of one document; one of them stays.
     """
-    keep = near_duplicates(docs, words, radius, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__keep")).distinct()
-    first = docs.dropDuplicates([id_col])
-    return first.join(keep, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    keep = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__keep")).distinct()
+    kept = docs.join(keep, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = not groups.groupBy(id_col).count().where("count > 1").isEmpty()
+    return kept.dropDuplicates([id_col]) if repeated else kept

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from llm.simhash import Forest, forest_rows, near_duplicates, one_of_each, shingle_fingerprint
+from llm.simhash import Forest, forest_rows, near_duplicates, one_of_each, shingle_fingerprint, similar_groups
 
 
 def brute(fps, ids, radius=4):
@@ -71,10 +71,12 @@ def test_odd_rows(spark):
     df = spark.createDataFrame(rows, schema)
     got = sorted((r.doc_id, r.component_id) for r in near_duplicates(df).collect())
     assert got == [(2, 2), (2, 2), (3, 3), (4, 2), (5, 3), (7, 7), (9, 3)]
-    kept = one_of_each(df)
+    kept = one_of_each(df, near_duplicates(df))
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 7]
     empty = spark.createDataFrame([], schema)
-    assert near_duplicates(empty).count() == 0 and one_of_each(empty).count() == 0
+    assert near_duplicates(empty).count() == 0 and similar_groups(empty).count() == 0 and one_of_each(empty, near_duplicates(empty)).count() == 0
+    same = sorted((r.doc_id, r.component_id) for r in similar_groups(df).collect())
+    assert same == [(2, 2), (2, 2), (3, 3), (4, 2), (5, 3), (7, 7), (9, 3)]
 
 
 def test_chain_is_one_component(spark):
@@ -83,3 +85,20 @@ def test_chain_is_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100)], "a long, b long")
     got = {r.node: r.root for r in components(links).collect()}
     assert got == {i: 0 for i in range(1, 61)} | {101: 100}
+
+
+def test_similar_groups_against_jaccard(spark):
+    rng = np.random.default_rng(5)
+    rows, clear = [], []
+    for i in range(60):
+        words = [f"w{k}" for k in rng.integers(0, 5000, 300)]
+        rows.append((3 * i, " ".join(words)))
+        few = list(words)
+        few[50] = few[200] = "x"  # ten of 296 shingles: Jaccard 0.93
+        rows.append((3 * i + 1, " ".join(few)))
+        many = list(words)
+        for k in range(0, 300, 10):  # half of all shingles: Jaccard 0.33
+            many[k] = "y"
+        rows.append((3 * i + 2, " ".join(many)))
+    got = {r.doc_id: r.component_id for r in similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[3 * i] == 3 * i and got[3 * i + 1] == 3 * i and got[3 * i + 2] == 3 * i + 2 for i in range(60))
