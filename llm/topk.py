@@ -48,46 +48,47 @@ class SortedLists:
         goes on while the threshold is at least the kth score, so that ties are
         found whole.
         """
-        n = len(self.vectors)
+        n, query = len(self.vectors), query.astype(self.exact)
         used = np.nonzero(query)[0]
         if not len(used):  # every score is zero
             return np.arange(n), np.zeros(n, self.exact)
-        weight = query[used].astype(self.exact)
-        up = weight < 0
-        seen = np.zeros(n, bool)
-        places, scores = [], []
+        down, up = used[query[used] > 0], used[query[used] < 0]
+        seen, places, scores = np.zeros(n, bool), [], []
         best = np.zeros(0, self.exact)
         depth, step = 0, 8
         while depth < n:
             stop = min(n, depth + step)
-            rows = np.arange(depth, stop)
-            at = np.where(up[None, :], rows[:, None], n - 1 - rows[:, None])
-            came = np.unique(self.order[at, used[None, :]])
-            new = came[~seen[came]]
+            before = seen.copy()
+            seen[self.order[n - stop : n - depth, down]] = True
+            seen[self.order[depth:stop, up]] = True
+            # Once most vectors have come up, scoring the rest costs less than walking on.
+            rest = 2 * np.count_nonzero(seen) > n
+            new = np.flatnonzero(~before) if rest else np.flatnonzero(seen & ~before)
             if len(new):
-                seen[new] = True
-                s = self.vectors[new] @ query.astype(self.exact)
+                s = (self.vectors @ query)[new] if 4 * len(new) > n else self.vectors[new] @ query
                 places.append(new)
                 scores.append(s)
                 best = np.concatenate([best, s])
                 if len(best) > k:
                     best = np.partition(best, len(best) - k)[len(best) - k :]
+            if rest:
+                break
             # The threshold at this depth; no vector further down can score more.
-            limit = (self.values[at[-1], used] * weight).sum()
+            limit = self.values[n - stop, down] @ query[down] + self.values[stop - 1, up] @ query[up]
             kth = best.min() if len(best) >= k else None
             if floor is not None:
                 kth = floor if kth is None else max(kth, floor)
             if kth is not None and limit < kth:
                 break
-            depth, step = stop, step * 2
-        return (np.concatenate(places), np.concatenate(scores)) if places else (np.zeros(0, int), np.zeros(0, self.exact))
+            depth, step = stop, step * 4
+        return np.concatenate(places), np.concatenate(scores)
 
 
 def _exact(vectors: np.ndarray):
-    """float64 where sums of products stay below 2**53, 64-bit integers up to 2**62, else Python's."""
+    """Floats where they hold all sums of products exactly, else 64-bit integers, else Python's."""
     most = float(np.abs(vectors.astype(float)).max(initial=0.0))
     bound = most * most * max(1, vectors.shape[1])
-    return np.float64 if bound < 2**53 else np.int64 if bound < 2**62 else object
+    return np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else np.int64 if bound < 2**62 else object
 
 
 def search_block(vectors: np.ndarray, ids: list, queries: np.ndarray, k: int, floors: dict | None = None) -> list[list[tuple]]:
