@@ -117,8 +117,8 @@ def tokenised_pieces(docs: DataFrame, path: str, size: int, id_col: str, text_co
         seen = np.zeros(size + 1, np.int64)
         for batch in batches:
             ids, out = batch.column(0).to_pylist(), []
-            for doc, text in zip(ids, batch.column(1).to_pylist()):
-                body = (encode(text) if text else b"") + b"\0\0\0\0"
+            for doc, body in zip(ids, encode.many([t or "" for t in batch.column(1).to_pylist()])):
+                body += b"\0\0\0\0"
                 total = len(body) // 4
                 start, piece = 0, 0
                 stop = total % size or size

@@ -14,10 +14,12 @@ from __future__ import annotations
 import json
 from array import array
 
+import numpy as np
+
 from .common import single_threaded
 
 #: Entries in a worker's table of chunks, about 100 bytes each.
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 1_000_000
 
 
 def default_path() -> str:
@@ -81,6 +83,10 @@ class _Memo(dict):
         return value
 
 
+#: Chunks encoded together when they are new to a worker.
+TOGETHER = 500
+
+
 class Encoder:
     """Ids of whole texts as unsigned 32-bit little-endian bytes."""
 
@@ -89,14 +95,47 @@ class Encoder:
         self.chunked = splits_at_spaces(path)
         self.added = added_strings(path) if self.chunked else []
         self.memo = _Memo(self._pack)
+        if self.chunked:
+            # In a byte-level vocabulary each character of an entry stands for one byte.
+            vocabulary = self.tokenizer.get_vocab()
+            self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+            self.n_bytes[list(vocabulary.values())] = list(map(len, vocabulary))
 
     def _pack(self, text: str) -> bytes:
         return array("I", library_ids(self.tokenizer, text)).tobytes()
 
+    def _learn(self, chunks: list[str]) -> None:
+        """Encode new chunks many at a time; each starts with a space, so none runs into the next."""
+        if len(self.memo) + len(chunks) > MEMO_ENTRIES:
+            self.memo.clear()
+        groups = [chunks[i : i + TOGETHER] for i in range(0, len(chunks), TOGETHER)]
+        for group, encoded in zip(groups, self.tokenizer.encode_batch_fast(list(map("".join, groups)), add_special_tokens=False)):
+            ids = np.array(encoded.ids, np.uint32)
+            ends = np.cumsum(self.n_bytes[ids])
+            want = np.cumsum([len(c.encode()) for c in group])
+            stops = np.searchsorted(ends, want)
+            if stops[-1] >= len(ends) or not np.array_equal(ends[stops], want):
+                continue  # one at a time, when they are looked up
+            body = ids.astype("<u4").tobytes()
+            at = 0
+            for chunk, stop in zip(group, (4 * (stops + 1)).tolist()):
+                self.memo[chunk] = body[at:stop]
+                at = stop
+
     def __call__(self, text: str) -> bytes:
-        if self.chunked and "\0" not in text and not any(a in text for a in self.added):
-            try:
-                return b"".join(map(self.memo.__getitem__, text.replace(" ", "\0 ").split("\0")))
-            except TypeError:
-                pass
-        return self._pack(text)
+        return self.many([text])[0]
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        if not self.chunked:
+            return [self._pack(t) for t in texts]
+        memo, out = self.memo, []
+        for at in range(0, len(texts), 256):
+            part = texts[at : at + 256]
+            cut = [None if "\0" in t or any(a in t for a in self.added) else t.replace(" ", "\0 ").split("\0") for t in part]
+            self._learn([c for c in set().union(*(c for c in cut if c)) if c not in memo and len(c) > 1 and c[0] == " " and not c[1].isspace() and not c[-1].isspace()])
+            for text, chunks in zip(part, cut):
+                try:
+                    out.append(b"".join(map(memo.__getitem__, chunks)))
+                except TypeError:
+                    out.append(self._pack(text))
+        return out
