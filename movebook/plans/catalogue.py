@@ -15,6 +15,7 @@ from ..operators import catalog as C
 from ..operators import identify as I
 from ..operators import line as L
 from ..operators import sequence as S
+from ..sources import bookfile, pgn
 
 
 def _ended():
@@ -296,7 +297,84 @@ def move_pack_unpack(spark, sf_dir):
     return p.select("packed", moves.origin_of(c).alias("origin"), moves.target_of(c).alias("target"), moves.promotion_of(c).alias("promotion"), moves.uci_of(c).alias("uci"))
 
 
+#: Games with known endings: name, extra tags, moves.
+GAMES = [
+    ("fool", "", "1. f3 e5 2. g4 Qh4# 0-1"),
+    ("scholar", "", "1. e4 e5 2. Bc4 Nc6 3. Qh5 Nf6 4. Qxf7# 1-0"),
+    ("stalemate", "", "1. e3 a5 2. Qh5 Ra6 3. Qxa5 h5 4. Qxc7 Rah6 5. h4 f6 6. Qxd7+ Kf7 7. Qxb7 Qd3 8. Qxb8 Qh7 9. Qxc8 Kg6 10. Qe6 1/2-1/2"),
+    ("resigned", "", "1. e4 e5 1-0"),
+    ("empty", "", "1-0"),
+    ("wrong result", '[Result "1-0"]', "1. f3 e5 2. g4 Qh4# 1-0"),
+    ("bad san", "", "1. e4 e5 2. Ke3 1-0"),
+    ("atomic", '[Variant "Atomic"]', "1. f3 e5 2. g4 Qh4# 0-1"),
+    ("fen", '[FEN "8/8/8/8/8/8/8/8 w - - 0 1"]', "1. f3 e5 2. g4 Qh4# 0-1"),
+    ("comments", "", "1. f3 {x} $1 (1. e4 e5) 1... e5 2. g4? Qh4#"),
+    ("repetition", "", "1. Nf3 Nf6 2. Ng1 Ng8 3. f3 e5 4. g4 Qh4# 0-1"),
+]
+
+
+def _chess_games(spark, **how):
+    rows = [("embedded", i, f'[Event "{name}"]\n{tags}\n\n{moves}\n') for i, (name, tags, moves) in enumerate(GAMES)]
+    return pgn.replayed(spark.createDataFrame(rows, "source string, at bigint, text string"), **how)
+
+
+def chess_replay(spark, sf_dir):
+    return _chess_games(spark).select(F.col("headers")["Event"].alias("event"), "verdict", "n_plies", "ending", "winner", F.array_join(F.transform("indices", lambda i: i.cast("string")), ",").alias("indices"))
+
+
+def chess_kept_skipped(spark, sf_dir):
+    return _chess_games(spark).groupBy("source").agg(F.count_if(F.col("verdict") == "ok").alias("kept"), F.count_if(F.col("verdict") != "ok").alias("skipped"))
+
+
+def chess_book(spark, sf_dir):
+    """Moves by ply and count, without the keys, which are this engine's own."""
+    plies = pgn.game_plies(_chess_games(spark))
+    counts = pgn.chess_tally(plies)
+    return counts.groupBy("uci").agg(F.count(F.lit(1)).alias("positions"), F.sum("n").alias("n"))
+
+
+def chess_lookup(spark, sf_dir):
+    fens = ["rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1", "8/8/8/8/8/8/8/8 w - - 0 1", "not a fen"]
+    book = pgn.chess_tally(pgn.game_plies(_chess_games(spark)))
+    return pgn.lookup_fens(book, spark.createDataFrame([(f,) for f in fens], "fen string"))
+
+
+def chess_legal_index(spark, sf_dir):
+    fen = "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1"
+    told = pgn.fen_facts(spark.createDataFrame([(fen,)], "fen string"))
+    return told.select(F.explode("facts.legal").alias("m")).select("m.idx", "m.uci", "m.san")
+
+
+def chess_identify(spark, sf_dir):
+    games = _chess_games(spark)
+    lines = games.where("verdict = 'ok'").select(F.col("headers")["Event"].alias("line"), "ucis")
+    return pgn.identify_lines(lines, games)
+
+
+def chess_material(spark, sf_dir):
+    """Missing pieces and their worth, from the text of the board."""
+    fens = spark.createDataFrame([("rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR",), ("5bnr/4p1pq/4Qpkr/7p/7P/4P3/PPPP1PP1/RNB1KBNR",), ("k7/8/8/8/8/8/8/KQQ5",)], "board string")
+    worth = (("p", 8, 1), ("n", 2, 3), ("b", 2, 3), ("r", 2, 5), ("q", 1, 9))
+    lost = lambda piece, n: F.greatest(F.lit(0), F.lit(n) - (F.length("board") - F.length(F.replace("board", F.lit(piece), F.lit("")))))
+    side = lambda f: sum((lost(f(p), n) * v for p, n, v in worth[1:]), lost(f(worth[0][0]), worth[0][1]))
+    return fens.select("board", side(str.upper).alias("white_lost"), side(str.lower).alias("black_lost")).withColumn("difference", F.col("black_lost") - F.col("white_lost"))
+
+
+def bookfile_roundtrip(spark, sf_dir):
+    """The tally written as a compact book file and read back."""
+    import tempfile
+
+    bookfile.register(spark)
+    rows = _book(spark, sf_dir, True).select(F.xxhash64("state").alias("pos_key"), F.col("move").cast("int").alias("move_idx"), "n")
+    path = f"{tempfile.mkdtemp(prefix='book-')}/known.book"
+    rows.coalesce(1).write.format("bookfile").mode("overwrite").save(path)
+    states = _book(spark, sf_dir, True).select(F.xxhash64("state").alias("pos_key"), "state").distinct()
+    back = spark.read.format("bookfile").load(path).join(states, "pos_key")
+    return back.select("state", F.col("move_idx").cast("string").alias("move"), "n")
+
+
 QUERIES = [
+    chess_replay, chess_kept_skipped, chess_book, chess_lookup, chess_legal_index, chess_identify, chess_material, bookfile_roundtrip,
     seq_plies, seq_events_plies, seq_conversations, seq_qualify, seq_any_ending, seq_max_ply_drop, seq_max_ply_truncate, seq_limit_per_source,
     book_tally, book_transposition, book_weighted, book_nested_ranked, book_ranked_top, book_merge_two, book_merge_many, book_incremental_left_anti,
     book_double_count, book_stats, lookup_point, lookup_batch, lookup_nested, lookup_unresolved_total, forced_states, forced_playout, phase_of_state,

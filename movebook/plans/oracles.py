@@ -56,7 +56,27 @@ def human(x: str) -> str:
         ELSE printf('%.1fT', {x} / 1099511627776.0::DOUBLE) END"""
 
 
+#: What the embedded games come to: verdict, plies, ending, winner, canonical move indices.
+REPLAYED = """
+g AS (SELECT * FROM (VALUES
+    ('fool', 'ok', 4, 'mate', 'black', '8,4,17,3'), ('scholar', 'ok', 7, 'mate', 'white', '16,4,19,16,29,17,41'),
+    ('stalemate', 'ok', 19, 'stalemate', 'draw', '6,0,28,6,31,7,40,23,28,16,39,4,38,1,36,33,40,9,35'),
+    ('resigned', 'unfinished', 2, NULL, NULL, ''), ('empty', 'no moves', 0, NULL, NULL, ''), ('wrong result', 'ok', 4, 'mate', 'black', '8,4,17,3'),
+    ('bad san', 'bad san', 0, NULL, NULL, ''), ('atomic', 'variant', 0, NULL, NULL, ''), ('fen', 'fen', 0, NULL, NULL, ''),
+    ('comments', 'ok', 4, 'mate', 'black', '8,4,17,3'), ('repetition', 'ok', 8, 'mate', 'black', '7,16,1,20,8,4,17,3')
+) v(event, verdict, n_plies, ending, winner, indices))"""
+
 ORACLES = {
+    "chess_replay": f"WITH {REPLAYED} SELECT event, verdict, CAST(n_plies AS INTEGER) AS n_plies, ending, winner, indices FROM g",
+    "chess_kept_skipped": f"WITH {REPLAYED} SELECT 'embedded' AS source, CAST(count(*) FILTER (verdict = 'ok') AS BIGINT) AS kept, CAST(count(*) FILTER (verdict <> 'ok') AS BIGINT) AS skipped FROM g",
+    "chess_legal_index": """SELECT CAST(idx AS INTEGER) AS idx, uci, CASE WHEN uci IN ('b1a3', 'b1c3', 'g1f3', 'g1h3') THEN 'N' || substr(uci, 3) ELSE substr(uci, 3) END AS san
+        FROM (SELECT i - 1 AS idx, ['b1a3', 'a2a3', 'b2b3', 'b1c3', 'c2c3', 'd2d3', 'e2e3', 'g1f3', 'f2f3', 'g2g3', 'g1h3', 'h2h3', 'a2a4', 'b2b4', 'c2c4', 'd2d4', 'e2e4', 'f2f4', 'g2g4', 'h2h4'][i] AS uci FROM range(1, 21) t(i))""",
+    "chess_lookup": """SELECT * FROM (VALUES
+        ('rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1', NULL, 7::BIGINT, 'f2f3', 'f3', 4::BIGINT), ('rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1', NULL, 7, 'e2e4', 'e4', 1),
+        ('rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1', NULL, 7, 'e2e3', 'e3', 1), ('rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1', NULL, 7, 'g1f3', 'Nf3', 1),
+        ('8/8/8/8/8/8/8/8 w - - 0 1', 'illegal position', 0, NULL, NULL, NULL), ('not a fen', 'invalid FEN', 0, NULL, NULL, NULL)) v(fen, error, total, uci, san, n)""",
+    "chess_material": "SELECT * FROM (VALUES ('rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR', 0, 0, 0), ('5bnr/4p1pq/4Qpkr/7p/7P/4P3/PPPP1PP1/RNB1KBNR', 0, 10, 10), ('k7/8/8/8/8/8/8/KQQ5', 30, 39, 9)) v(board, white_lost, black_lost, difference)",
+    "bookfile_roundtrip": f"WITH {MULTI} SELECT * FROM book",
     "seq_plies": f"WITH {ROWS} SELECT o_custkey, ply, pstate AS state, move FROM allp",
     "seq_events_plies": """
         WITH e AS (

@@ -274,3 +274,8 @@ class BookSource(DataSource):
 
     def writer(self, schema, overwrite):
         return _Writer(self.options["path"].removeprefix("file://"))
+
+
+def register(spark) -> None:
+    spark.dataSource.register(BookSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
