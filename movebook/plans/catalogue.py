@@ -366,7 +366,7 @@ def bookfile_roundtrip(spark, sf_dir):
 
     bookfile.register(spark)
     rows = _book(spark, sf_dir, True).select(F.xxhash64("state").alias("pos_key"), F.col("move").cast("int").alias("move_idx"), "n")
-    path = f"{tempfile.mkdtemp(prefix='book-')}/known.book"
+    path = f"{tempfile.mkdtemp(prefix='book-')}/games.book"
     rows.coalesce(1).write.format("bookfile").mode("overwrite").save(path)
     states = _book(spark, sf_dir, True).select(F.xxhash64("state").alias("pos_key"), "state").distinct()
     back = spark.read.format("bookfile").load(path).join(states, "pos_key")

@@ -75,6 +75,8 @@ ORACLES = {
         ('rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1', NULL, 7::BIGINT, 'f2f3', 'f3', 4::BIGINT), ('rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1', NULL, 7, 'e2e4', 'e4', 1),
         ('rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1', NULL, 7, 'e2e3', 'e3', 1), ('rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1', NULL, 7, 'g1f3', 'Nf3', 1),
         ('8/8/8/8/8/8/8/8 w - - 0 1', 'illegal position', 0, NULL, NULL, NULL), ('not a fen', 'invalid FEN', 0, NULL, NULL, NULL)) v(fen, error, total, uci, san, n)""",
+    "chess_identify": """SELECT line, CAST(hit AS BIGINT) AS "at", hit IS NOT NULL AS exact FROM (VALUES
+        ('fool', NULL), ('wrong result', NULL), ('comments', NULL), ('repetition', NULL), ('scholar', 1), ('stalemate', 2)) v(line, hit)""",
     "chess_material": "SELECT * FROM (VALUES ('rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR', 0, 0, 0), ('5bnr/4p1pq/4Qpkr/7p/7P/4P3/PPPP1PP1/RNB1KBNR', 0, 10, 10), ('k7/8/8/8/8/8/8/KQQ5', 30, 39, 9)) v(board, white_lost, black_lost, difference)",
     "bookfile_roundtrip": f"WITH {MULTI} SELECT * FROM book",
     "seq_plies": f"WITH {ROWS} SELECT o_custkey, ply, pstate AS state, move FROM allp",

@@ -59,13 +59,12 @@ def test_bad_files():
 
 
 def test_data_source(spark, tmp_path):
-    spark.dataSource.register(bf.BookSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    path = str(tmp_path / "known.book")
+    bf.register(spark)
+    path = str(tmp_path / "games.book")
     rows = [(bf.signed(h), i % 200, i % 5 + 1) for i, h in enumerate(keys(1000))] + [(5, 1, 2), (5, 1, 3), (5, 0, 5)]
     spark.createDataFrame(rows, bf.SCHEMA).repartition(3).write.format("bookfile").mode("overwrite").save(path)
     book = spark.read.format("bookfile").option("blockspertask", "2").load(path)
     assert sorted(map(tuple, book.collect())) == sorted([r for r in rows if r[0] != 5] + [(5, 1, 5), (5, 0, 5)])
     assert [tuple(r) for r in book.where("pos_key = 5").collect()] == [(5, 0, 5), (5, 1, 5)]
     assert book.where("pos_key = 6").count() == 0
-    assert [p.name for p in tmp_path.iterdir()] == ["known.book"]
+    assert [p.name for p in tmp_path.iterdir()] == ["games.book"]

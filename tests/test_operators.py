@@ -70,8 +70,8 @@ def test_publish_prunes(spark, tmp_path):
 
 
 def test_manifest(spark, tmp_path):
-    (tmp_path / "known.book.sources").write_text("a.pgn\n\n  b.pgn.zst \n")
-    got = C.read_manifest(spark, C.manifest_path(str(tmp_path / "known.book")))
+    (tmp_path / "games.book.sources").write_text("a.pgn\n\n  b.pgn.zst \n")
+    got = C.read_manifest(spark, C.manifest_path(str(tmp_path / "games.book")))
     assert [r.filename for r in got.orderBy("seq").collect()] == ["a.pgn", "b.pgn.zst"]
     assert C.read_manifest(spark, str(tmp_path / "none")).count() == 0
     (tmp_path / "x_2013-01.pgn").write_text("")
