@@ -27,15 +27,25 @@ def passing(games: DataFrame, depth: int = DEPTH, transposing: bool = True) -> D
     return each.select("game", "winner", F.array_join(F.array_sort(prior) if transposing else prior, SEP).alias("state"), "target")
 
 
-def identified(lines: DataFrame, games: DataFrame, transposing: bool = True) -> DataFrame:
-    """``line, game, exact``: the game that alone plays the target in the state, or alone does so with the line's winner."""
-    hits = anchored(lines, transposing).join(passing(games, transposing=transposing).withColumnRenamed("winner", "won"), ["state", "target"], "left")
-    same = F.when(F.col("won") == F.col("winner"), F.col("game"))
-    found = hits.groupBy("line").agg(F.count("game").alias("n"), F.min("game").alias("only"), F.count(same).alias("n_same"), F.min(same).alias("only_same"))
+def resolved(asked: DataFrame, passing_games: DataFrame) -> DataFrame:
+    """``line, game, exact`` from ``line, state, target, winner`` and ``game, winner, state, target``.
+
+    Games are counted by state, target and winner before they meet the lines,
+    so that a state which many games and many lines share joins a few rows.
+    """
+    sums = passing_games.groupBy("state", "target", F.col("winner").alias("won")).agg(F.count(F.lit(1)).alias("k"), F.min("game").alias("g"))
+    hits = asked.join(sums, ["state", "target"], "left")
+    same = F.col("won") == F.col("winner")
+    found = hits.groupBy("line").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"), F.min("g").alias("only"), F.sum(F.when(same, F.col("k"))).alias("n_same"), F.min(F.when(same, F.col("g"))).alias("only_same"))
     game = F.when(F.col("n") == 1, F.col("only")).when(F.col("n_same") == 1, F.col("only_same"))
     return found.select("line", game.alias("game"), (F.col("n") == 1).alias("exact"))
 
 
+def identified(lines: DataFrame, games: DataFrame, transposing: bool = True) -> DataFrame:
+    """``line, game, exact``: the game that alone plays the target in the state, or alone does so with the line's winner."""
+    return resolved(anchored(lines, transposing), passing(games, transposing=transposing))
+
+
 def only_candidate(recent: DataFrame, top: DataFrame) -> DataFrame:
     """``line, n, game``: candidates of two lists together, not made distinct; a game only where there is one."""
     both = recent.unionAll(top)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.chess import START, Position
+from ..operators.identify import resolved
 
 #: Positions that a worker keeps as a tree of openings.
 TREE = 50_000
@@ -225,9 +226,6 @@ def identify_lines(lines: DataFrame, games: DataFrame, depth: int = 49) -> DataF
         return pd.DataFrame(rows, columns=["state", "target", "winner"])
 
     asked = lines.where("size(ucis) between 1 and 1024").withColumn("a", anchor("ucis")).select("line", "a.*")
-    each = games.where("verdict = 'ok'").select(F.col("at").alias("game"), F.col("winner").alias("won"), F.posexplode(F.arrays_zip("keys", "ucis")).alias("p", "m"))
-    passing = each.where(F.col("p") <= depth).select("game", "won", F.col("m.keys").alias("state"), F.col("m.ucis").alias("target"))
-    hits = asked.join(passing, ["state", "target"], "left")
-    same = F.when(F.col("won") == F.col("winner"), F.col("game"))
-    found = hits.groupBy("line").agg(F.count("game").alias("n"), F.min("game").alias("only"), F.count(same).alias("m"), F.min(same).alias("only_same"))
-    return found.select("line", F.when(F.col("n") == 1, F.col("only")).when(F.col("m") == 1, F.col("only_same")).alias("at"), (F.col("n") == 1).alias("exact"))
+    each = games.where("verdict = 'ok'").select(F.col("at").alias("game"), "winner", F.posexplode(F.arrays_zip("keys", "ucis")).alias("p", "m"))
+    passing = each.where(F.col("p") <= depth).select("game", "winner", F.col("m.keys").alias("state"), F.col("m.ucis").alias("target"))
+    return resolved(asked, passing).withColumnRenamed("game", "at")
