@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialised
 from .sequence import SEP
 
 
@@ -30,15 +31,18 @@ def forced_playout(book: DataFrame, starts: DataFrame, most: int = 128) -> DataF
 
     Jumps are doubled: a table of forced states that leads one step ahead is
     joined with itself to lead two, four, ... ahead, so the number of joins is
-    the logarithm of ``most``.  Lines, cycles among them, end at ``most`` steps.
+    the logarithm of the longest line or of ``most``.  Each table is written, so
+    that the next round reads it twice instead of making it twice.  Lines,
+    cycles among them, end at ``most`` steps (a power of two).
     """
     edges = forced(book)
-    jump = edges.select("state", next_state(F.col("state"), F.col("move")).alias("to"), F.lit(1).alias("steps"))
-    reach = 1
-    while reach < most:
+    jump = materialised(edges.select("state", next_state(F.col("state"), F.col("move")).alias("to"), F.lit(1).alias("steps")), "jumps")
+    reach = longest = 1
+    while longest == reach and 2 * reach <= most:
         ahead = jump.select(F.col("state").alias("to"), F.col("to").alias("further"), F.col("steps").alias("more"))
-        jump = jump.join(ahead, "to", "left").select("state", F.coalesce("further", "to").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"))
+        jump = materialised(jump.join(ahead, "to", "left").select("state", F.coalesce("further", "to").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")), "jumps")
         reach *= 2
+        longest = jump.agg(F.max("steps")).first()[0]
     played = starts.select(F.col("state").alias("start")).distinct().join(jump.withColumnRenamed("state", "start"), "start", "left")
     ends = played.select("start", F.coalesce("to", "start").alias("end"), F.coalesce("steps", F.lit(0)).alias("steps"))
     at_end = phases(book, ends.select(F.col("end").alias("state"))).select(F.col("state").alias("end"), "phase")
