@@ -3,8 +3,8 @@
 Each stage takes the documents that the one before it kept, written as Parquet
 and read again, and all but the last return the columns of ``documents``:
 
-1. language: documents without a letter, or in no language that holds two
-   fifths of their letters, go.
+1. language: documents without a letter, or in no language that holds three
+   tenths of their letters, go.
 2. toxicity: documents that the classifier holds to be toxic go.
 3. near_duplicates: of each group of texts at a similarity of 0.8 or more on
    shingles of five words, the document with the smallest id stays.
@@ -32,8 +32,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where("toxic is not null")
-    texts = docs.select("doc_id", "text")
-    return toxicity.without_toxic(docs, toxicity.train(texts.join(labels, "doc_id"), texts), 0.7)
+    return toxicity.without_toxic(docs, toxicity.train(docs, labels), 0.7)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -265,7 +265,7 @@ def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", t
     return rows.mapInArrow(label, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
-def in_known_language(docs: DataFrame, network: Network | None, least: float = 0.4, text_col: str = "text") -> DataFrame:
+def in_known_language(docs: DataFrame, network: Network | None, least: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns kept, whose text has letters and whose language holds ``least`` of the positions."""
     shared = docs.sparkSession.sparkContext.broadcast(network)
 

@@ -44,7 +44,7 @@ def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicit
     """Learned from the training fold of ``docs`` (doc_id, text) and its labels."""
     learn = docs.select("doc_id", "text").where(fold("doc_id", 3) != 1)
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where("toxic is not null").where(fold("doc_id", 3) != 1)
-    return toxicity.train(learn.join(labels, "doc_id"), learn)
+    return toxicity.train(learn, labels)
 
 
 def op6_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:

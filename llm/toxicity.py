@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
 from .sampling import stratified
 from .words import letter_words
 
@@ -64,31 +65,18 @@ class PuModel:
         return 0.5 + 0.5 * np.tanh(0.5 * (self.scale * np.asarray(g) + self.shift))
 
 
-def _matrix(docs: list[set[str]], names: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    rows, cols = [], []
-    for i, d in enumerate(docs):
-        c = [names[f] for f in sorted(d) if f in names]
-        rows += [i] * len(c)
-        cols += c
-    return np.array(rows, np.int64), np.array(cols, np.int64)
 
+def _entries(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    rows = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    return rows, np.concatenate([np.zeros(0, np.int64), *docs]).astype(np.int64)
 
-def fit_nn_pu(positive: list[set[str]], unlabelled: list[set[str]], prior: float, least_z: float = 4.0, most_features: int = 20_000, steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> PuModel:
-    """Learns from feature sets; ``prior`` is the class prior pi, between 0 and 1."""
+
+def fit_nn_pu(positive: list[np.ndarray], unlabelled: list[np.ndarray], names: dict[str, int], prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> PuModel:
+    """Learns from documents given as the numbers of their features; ``prior`` is the class prior pi."""
     n_p, n_u = len(positive), len(unlabelled)
     if not n_p or not n_u:
         return PuModel({}, np.zeros(0), -1.0)
-    in_p, in_u = Counter(f for d in positive for f in d), Counter(f for d in unlabelled for f in d)
-    strength = {}
-    for f, k in in_p.items():
-        p, u = k / n_p, in_u[f] / n_u
-        pooled = (k + in_u[f] + 1) / (n_p + n_u + 2)
-        z = (p - u) / np.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / n_u))
-        if z >= least_z:
-            strength[f] = z
-    chosen = sorted(strength, key=lambda f: (-strength[f], f))[:most_features]
-    names = {f: i for i, f in enumerate(chosen)}
-    (pr, pc), (ur, uc) = _matrix(positive, names), _matrix(unlabelled, names)
+    (pr, pc), (ur, uc) = _entries(positive), _entries(unlabelled)
     w, b = np.zeros(len(names)), -1.0
     state = [np.zeros(len(names) + 1), np.zeros(len(names) + 1)]
 
@@ -108,7 +96,7 @@ def fit_nn_pu(positive: list[set[str]], unlabelled: list[set[str]], prior: float
         sign = 1.0 if negative >= 0 else -1.0
         dp += sign * prior * slope(-gp) / n_p
         du -= sign * slope(-gu) / n_u
-        grad = np.append(np.bincount(pc, dp[pr], len(names)) + np.bincount(uc, du[ur], len(names)) + decay * w * 0.1, dp.sum() + du.sum())
+        grad = np.append(np.bincount(pc, dp[pr], len(names)) + np.bincount(uc, du[ur], len(names)) + decay * w, dp.sum() + du.sum())
         state[0] += 0.1 * (grad - state[0])
         state[1] += 0.01 * (grad * grad - state[1])
         move = rate * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.99**step)) + 1e-9)
@@ -133,29 +121,73 @@ def calibrate(model: PuModel, values: np.ndarray, labels: np.ndarray, steps: int
     return model
 
 
-def train(labelled: DataFrame, unlabelled: DataFrame, positives: int = 2000, others: int = 6000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> PuModel:
-    """Learns from ``labelled`` (id, text, label 0 or 1) and the texts of ``unlabelled``.
+def feature_counts(sample: DataFrame) -> DataFrame:
+    """``feature, in_p, in_u``: numbers of confirmed and of unlabelled documents of the sample that have it."""
+
+    def count(batches):
+        seen: tuple[Counter, Counter] = (Counter(), Counter())
 
-    At most about ``positives`` confirmed examples, ``others`` unlabelled texts
-    and as many labelled rows for the calibration reach the driver, chosen by
-    hash.  The prior is the label's share among all labelled rows.  Null texts
-    count as empty; null labels are no labels.  Without a confirmed example
-    every text scores alike and low.
+        def rows():
+            names = list(seen[0].keys() | seen[1].keys())
+            batch = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[0][f] for f in names], pa.int64()), pa.array([seen[1][f] for f in names], pa.int64())], ["feature", "in_p", "in_u"])
+            seen[0].clear()
+            seen[1].clear()
+            return batch
+
+        for batch in batches:
+            for text, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if part != "0":
+                    seen[part == "u"].update(document_features(text))
+                if len(seen[0]) + len(seen[1]) > MEMO_WORDS:
+                    yield rows()
+        yield rows()
+
+    counted = sample.select("text", "part").mapInArrow(count, "feature string, in_p bigint, in_u bigint")
+    return counted.groupBy("feature").agg(F.sum("in_p").alias("in_p"), F.sum("in_u").alias("in_u"))
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, positives: int = 2000, others: int = 6000, least_z: float = 4.0, most_features: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"
+) -> PuModel:
+    """Learns from the texts of ``docs`` and the ``labels`` (id, 0 or 1) of some of them.
+
+    About ``positives`` rows of each label and ``others`` unlabelled texts are
+    drawn by hash; the clean labels serve the calibration only.  Ids are drawn
+    first and their texts are read where they lie.  Features are counted there
+    too; at most ``most_features`` of them, and the sample as feature numbers,
+    reach the driver.  The prior is the label's share among all labels.  Null
+    texts count as empty; null labels are no labels.  Without a confirmed
+    example every text scores alike and low.
     """
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
-    counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
-    prior = min(0.9, max(1e-4, counts.get(1, 0) / max(1, sum(counts.values()))))
-    positive, told, labels = [], [], []
-    for r in stratified(rows, "label", positives, "id").orderBy("id", "text", "label").toLocalIterator():
-        found = document_features(r.text)
-        told.append(found)
-        labels.append(r.label)
-        if r.label == 1:
-            positive.append(found)
-    texts = unlabelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit("all").alias("part"))
-    rest = [document_features(r.text) for r in stratified(texts, "part", others, "id").orderBy("id", "text").toLocalIterator()]
-    model = fit_nn_pu(positive, rest, prior)
-    return calibrate(model, np.array([model.value(d) for d in told]), np.array(labels)) if told else model
+    told = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").cast("string").alias("part")).where("part in ('0', '1')")
+    counts = {r.part: r["count"] for r in told.groupBy("part").count().collect()}
+    prior = min(0.9, max(1e-4, counts.get("1", 0) / max(1, sum(counts.values()))))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    drawn = F.broadcast(stratified(told, "part", positives, "id"))  # about 2 * positives ids
+    rest = stratified(texts.withColumn("part", F.lit("u")), "part", others, "id")
+    sample = stored(texts.join(drawn, "id").select("id", "text", "part").union(rest), "toxic-sample")
+    sizes = {r.part: r["count"] for r in sample.groupBy("part").count().collect()}
+    n_p, n_u = sizes.get("1", 0), sizes.get("u", 0)
+    if not n_p or not n_u:
+        return PuModel({}, np.zeros(0), -1.0)
+    pooled = (F.col("in_p") + F.col("in_u") + 1) / F.lit(float(n_p + n_u + 2))
+    z = (F.col("in_p") / F.lit(float(n_p)) - F.col("in_u") / F.lit(float(n_u))) / F.sqrt(pooled * (1 - pooled) * F.lit(1 / n_p + 1 / n_u))
+    chosen = feature_counts(sample).withColumn("z", z).where(F.col("z") >= least_z).orderBy(F.desc("z"), "feature").limit(most_features).collect()
+    names = {r.feature: i for i, r in enumerate(chosen)}
+    shared = sample.sparkSession.sparkContext.broadcast(names)
+
+    def number(batches):
+        for batch in batches:
+            found = [sorted(i for f in document_features(t) if (i := shared.value.get(f)) is not None) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int32()))], ["id", "part", "found"])
+
+    kind = sample.schema["id"].dataType.simpleString()
+    docs: dict[str, list] = {"0": [], "1": [], "u": []}
+    for r in sample.mapInArrow(number, f"id {kind}, part string, found array<int>").orderBy("part", "id", "found").toLocalIterator():
+        docs[r.part].append(np.array(r.found, np.int64))
+    model = fit_nn_pu(docs["1"], docs["u"], names, prior)
+    told = docs["1"] + docs["0"]
+    return calibrate(model, np.array([model.bias + model.weights[d].sum() for d in told]), np.array([1] * len(docs["1"]) + [0] * len(docs["0"])))
 
 
 class Scorer:
