@@ -169,31 +169,26 @@ def forest_rows(a: np.ndarray, b: np.ndarray | None, radius: int, limit: int | N
     return nodes[root[moved]], nodes[moved]
 
 
-def close_links(nodes: DataFrame, radius: int = 4, tile: int = TILE, limit: int | None = None, width: int = 1) -> DataFrame:
+def close_links(nodes: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
     """``a, b``: for distinct fingerprints ``fp``, links that join exactly what radius joins.
 
-    With ``limit`` the rows also have ``node`` and ``sketch``, the fingerprint
-    and the words after it; then nodes are linked, where both bounds hold.
-
     Tiles are cut at multiples of ``tile`` in the order of population counts.
     Every pair of tiles is a row of its own, so work spreads evenly however the
     fingerprints cluster; pairs of tiles that the counts rule out make no row.
     """
     spark = nodes.sparkSession
-    body = F.col("fp") if limit is None else F.concat(F.unhex(F.lpad(F.hex("node"), 16, "0")), "sketch")
-    placed = nodes.select("fp", body.alias("body"), population("fp").alias("p"), population("fp", 0).alias("p0"), population("fp", 1).alias("p1"), population("fp", 2).alias("p2"))
+    placed = nodes.select("fp", population("fp").alias("p"), population("fp", 0).alias("p0"), population("fp", 1).alias("p1"), population("fp", 2).alias("p2"))
     # A range sort keeps the order across partitions; a tile never spans two of them.
     ordered = placed.sort("p", "p0", "p1", "p2", "fp")
 
     def cut(batches):
         from pyspark import TaskContext
 
-        part, serial = TaskContext.get().partitionId(), 0
-        rest = np.zeros(0, np.uint64) if limit is None else np.zeros((0, 2), np.uint64)
+        part, serial, rest = TaskContext.get().partitionId(), 0, np.zeros(0, np.uint64)
 
         def row(x):
             nonlocal serial
-            pop = np.bitwise_count(x if limit is None else x[:, 1])
+            pop = np.bitwise_count(x)
             serial += 1
             return [part * 2**32 + serial, int(pop.min()), int(pop.max()), x.tobytes()]
 
@@ -201,21 +196,14 @@ def close_links(nodes: DataFrame, radius: int = 4, tile: int = TILE, limit: int
             return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["tile", "least", "most", "body"])
 
         for batch in batches:
-            if limit is None:
-                more = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            elif len(batch):
-                more = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64).reshape(len(batch), -1).copy()
-                more[:, 0] = more[:, 0].byteswap()  # the node came as big-endian hex
-            else:
-                continue
-            rest = np.concatenate([rest, more]) if len(rest) else more
+            rest = np.concatenate([rest, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)])
             while len(rest) >= tile:
                 yield batch_of([row(rest[:tile])])
                 rest = rest[tile:]
         if len(rest):
             yield batch_of([row(rest)])
 
-    tiles = stored(ordered.select("body").mapInArrow(cut, "tile bigint, least bigint, most bigint, body binary"), "tiles")
+    tiles = stored(ordered.select("fp").mapInArrow(cut, "tile bigint, least bigint, most bigint, body binary"), "tiles")
     x, y = tiles.alias("x"), tiles.select("tile", "least", "most").alias("y")
     # Which pairs to compare follows from the tiles' ranges of counts; only ids travel here.
     bits = F.explode(F.sequence(F.col("least"), F.col("most"))).alias("bit")
@@ -238,10 +226,7 @@ def close_links(nodes: DataFrame, radius: int = 4, tile: int = TILE, limit: int
     def compare(batches):
         for batch in batches:
             for i, j, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-                left, right = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                if limit is not None:
-                    left, right = left.reshape(-1, width), right.reshape(-1, width)
-                low, high = forest_rows(left, None if i == j else right, radius, limit)
+                low, high = forest_rows(np.frombuffer(a, np.uint64), None if i == j else np.frombuffer(b, np.uint64), radius)
                 yield pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), pa.array(high.view(np.int64))], ["a", "b"])
 
     return work.mapInArrow(compare, "a bigint, b bigint")
@@ -296,6 +281,54 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: st
 LONG, REACH = 8, 18
 
 
+#: Nodes of a group that is compared with another in one task, and the least number of groups.
+GROUP, GROUPS = 131_072, 8
+
+
+def similar_links(nodes: DataFrame, radius: int, limit: int) -> DataFrame:
+    """``a, b``: links of ``node, fp, sketch`` where both bounds hold, as spanning forests.
+
+    Nodes are put into groups by the population counts of their fingerprints,
+    and each pair of groups whose counts lie within the radius is compared in
+    one task, tile by tile.  A node travels once for each group, not for each
+    tile, that it meets.
+    """
+    spark = nodes.sparkSession
+    cell = ["p", "p0", "p1"]
+    placed = nodes.select("node", "fp", "sketch", population("fp").alias("p"), population("fp", 0).alias("p0"), population("fp", 1).alias("p1"))
+    # At most 65 * 17 * 17 cells reach the driver.
+    cells = sorted(map(tuple, placed.groupBy(*cell).count().collect()))
+    size = max(1, min(GROUP, -(-sum(c[3] for c in cells) // GROUPS)))
+    seen, told, spans = 0, [], []
+    for p, p0, p1, n in cells:
+        if not spans or seen >= size:
+            spans.append([p, p])
+            seen = 0
+        spans[-1][1] = p
+        told.append((p, p0, p1, len(spans) - 1))
+        seen += n
+    groups = F.broadcast(spark.createDataFrame(told, "p int, p0 int, p1 int, g int"))
+    least, most = (F.array(*[F.lit(s[i]) for s in spans]) if spans else F.array(F.lit(0)) for i in (0, 1))
+    g, h = F.col("g"), F.col("h")
+    near = (F.get(least, h) - F.get(most, g) <= radius) & (F.get(least, g) - F.get(most, h) <= radius)
+    met = placed.join(groups, cell).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(max(0, len(spans) - 1))))).where(near)
+    work = met.select(F.least(g, h).alias("i"), F.greatest(g, h).alias("j"), (g > h).alias("right"), "node", "fp", "sketch")
+
+    def compare(key, table):
+        rows = np.empty((len(table), LONG + 1), np.uint64)
+        rows[:, 0] = table.column("node").to_numpy().view(np.uint64)
+        rows[:, 1:] = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(table), LONG)
+        right = table.column("right").to_numpy()
+        counts = part_counts(rows[:, 1].copy())
+        order = np.lexsort((counts[:, 1], counts[:, 0], counts.sum(axis=1)))
+        rows, right = rows[order], right[order]
+        same = key[0].as_py() == key[1].as_py()
+        low, high = forest_rows(rows[~right], None if same else rows[right], radius, limit)
+        return pa.table({"a": low.view(np.int64), "b": high.view(np.int64)})
+
+    return work.groupBy("i", "j").applyInArrow(compare, "a bigint, b bigint")
+
+
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``<id>, component_id``: groups of texts whose shingle sets are ``similarity`` alike (Jaccard) or more.
 
@@ -317,7 +350,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marked = stored(texts.mapInArrow(compute, f"id {kind}, fp bigint, sketch binary").withColumn("node", F.xxhash64("sketch")), "sketches")
     nodes = stored(marked.groupBy("node").agg(F.min("id").alias("least_id"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "sketch-nodes")
-    roots = components(close_links(nodes, REACH, limit=limit, width=LONG + 1))
+    roots = components(similar_links(nodes, REACH, limit))
     placed = nodes.join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
     classes = placed.join(smallest, "root").select("node", "component_id")
