@@ -63,9 +63,8 @@ def remixed(h: np.ndarray, turn: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def long_fingerprint(text: str | None, words: int, length: int) -> np.ndarray:
-    """SimHash of ``length`` 64-bit words; the first is the plain fingerprint of the distinct shingles."""
-    h = np.unique(shingle_hashes(text, words))
+def long_fingerprint(h: np.ndarray, length: int) -> np.ndarray:
+    """SimHash of ``length`` 64-bit words of distinct hashes; the first is their plain fingerprint."""
     return np.array([majority_bits(remixed(h, i) if i else h) for i in range(length)], np.uint64)
 
 
@@ -277,8 +276,25 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: st
     return marked.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: 64-bit words of the long fingerprint, and the bits of its first word that pairs to be looked at may differ in.
-LONG, REACH = 8, 18
+#: 64-bit words of the long fingerprint.
+LONG = 8
+#: Shingle sets up to this size are compared at wider bounds.
+SHORT = 32
+#: Nodes, and bytes of shingles, of a block of candidates that is verified in one task.
+BLOCK, BLOCK_BYTES = 2048, 64 * 2**20
+
+
+def sketch_bounds(similarity: float, short: bool) -> tuple[int, int]:
+    """Bits that may differ in a sketch's first word and in all of it, for a pair to be verified.
+
+    Sets of Jaccard similarity J have a cosine of 2J / (1 + J) or more, so that
+    arccos(cosine) / pi of the bits differ in the mean; ties add to it, by at
+    most 3% from 32 shingles on and by 25% below (counted for J = 0.8).
+    Bounds lie 3.5 (short: 4) and 5 standard deviations above that mean.
+    """
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi * (1.25 if short else 1.03)
+    bound = lambda bits, by: int(min(bits, bits * share + by * np.sqrt(bits * share * (1 - share))))
+    return bound(64, 4 if short else 3.5), bound(64 * LONG, 5)
 
 
 #: Nodes of a group that is compared with another in one task, and the least number of groups.
@@ -329,28 +345,107 @@ def similar_links(nodes: DataFrame, radius: int, limit: int) -> DataFrame:
     return work.groupBy("i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets of hashes; two empty ones are alike."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def verified_pairs(sets: list[np.ndarray], sketches: np.ndarray, right: np.ndarray | None, similarity: float) -> list[tuple[int, int]]:
+    """Links that join what pairs of ``similarity`` or more join, within all sets or between left and ``right``.
+
+    Pairs beyond the sketch bounds are not looked at, nor are pairs that links
+    found so far have joined.
+    """
+    n = np.array([len(x) for x in sets], np.int64)
+    widest, limits = SHORT / similarity, [sketch_bounds(similarity, short)[1] for short in (False, True)]
+    group, found = np.arange(len(sets)), []
+    left = None if right is None else np.flatnonzero(~right)
+    for x in range(len(sets)) if right is None else np.flatnonzero(right).tolist():
+        others = np.arange(x) if left is None else left
+        apart = np.bitwise_count(sketches[others] ^ sketches[x]).sum(axis=1, dtype=np.int64)
+        low, high = np.minimum(n[others], n[x]), np.maximum(n[others], n[x])
+        near = (apart <= np.where(high <= widest, limits[1], limits[0])) & (low >= high * similarity - 1e-6)
+        others = others[near][np.argsort(apart[near], kind="stable")]
+        others = others[group[others] != group[x]]
+        while len(others):
+            y, others = int(others[0]), others[1:]
+            if jaccard(sets[x], sets[y]) >= similarity:
+                found.append((y, x))
+                group[group == group[x]] = group[y]
+                others = others[group[others] != group[x]]
+    return found
+
+
+def verified_links(candidates: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``a, b``: links between nodes of ``node, least_id, n, sketch`` whose shingle sets are ``similarity`` alike.
+
+    ``candidates`` joins all that may be; only texts of its components are read
+    again, one a node.  A large component is cut into blocks, and each pair of
+    blocks is verified in a task of its own.
+    """
+    loose = components(candidates)
+    members = loose.union(loose.select(F.col("root").alias("node"), "root")).distinct()
+    asked = stored(members.join(nodes, "node").select("node", "root", "least_id", "n", "sketch"), "candidates")
+
+    def compute(batches):
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t, words)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(map(set_digest, found), pa.int64()), pa.array([h.tobytes() for h in found], pa.binary())], ["node", "shingles"])
+
+    wanted = asked.select(F.col("least_id").alias("wanted")).distinct()
+    read = texts.join(wanted, F.col("id").eqNullSafe(F.col("wanted")), "left_semi").select("id", "text").mapInArrow(compute, "node bigint, shingles binary")
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int")
+    sizes = asked.groupBy("root").agg(parts.alias("parts"))
+    blocks = asked.select("node", "root", "sketch").join(sizes, "root").withColumn("g", F.pmod(F.xxhash64("node"), F.col("parts")))
+    each = blocks.join(read.groupBy("node").agg(F.first("shingles").alias("shingles")), "node")
+    g, h = F.col("g"), F.col("h")
+    met = each.withColumn("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)))
+    work = met.select("root", F.least(g, h).alias("i"), F.greatest(g, h).alias("j"), (g > h).alias("right"), "node", "sketch", "shingles")
+
+    def verify(key, table):
+        node = table.column("node").to_numpy()
+        sets = [np.frombuffer(b, np.uint64) for b in table.column("shingles").to_pylist()]
+        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(node), LONG)
+        right = None if key[1].as_py() == key[2].as_py() else table.column("right").to_numpy()
+        pairs = np.array(verified_pairs(sets, sketches, right, similarity), np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(node[pairs[:, 0]], pa.int64()), "b": pa.array(node[pairs[:, 1]], pa.int64())})
+
+    return work.groupBy("root", "i", "j").applyInArrow(verify, "a bigint, b bigint")
+
+
+def set_digest(h: np.ndarray) -> int:
+    """64 bits, as a long, of a sorted set of hashes."""
+    import xxhash
+
+    return int(np.array([xxhash.xxh64_intdigest(h.tobytes(), 42)], np.uint64).view(np.int64)[0])
+
+
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``<id>, component_id``: groups of texts whose shingle sets are ``similarity`` alike (Jaccard) or more.
 
-    Sets of Jaccard similarity J have a cosine of 2J / (1 + J) at like sizes,
-    and two SimHashes differ in arccos(cosine) / pi of their bits.  A long
-    fingerprint (512 bits) measures that share; its first word, compared tile
-    by tile as above, at a radius that J = 0.8 stays within, chooses the pairs.
-    Rows without a word are alike.  Nulls, ties and repeats as in ``near_duplicates``.
+    Equal sets are one node.  SimHashes of 512 bits choose candidates, at bounds
+    that pairs of that similarity seldom pass (``sketch_bounds``); candidates
+    are verified by the exact Jaccard similarity of their sets.  Rows without a
+    word are alike.  Nulls, ties and repeats as in ``near_duplicates``.
     """
-    limit = int(64 * LONG * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
     def compute(batches):
         for batch in batches:
-            found = [long_fingerprint(t, words, LONG) for t in batch.column(1).to_pylist()]
+            sets = [np.unique(shingle_hashes(t, words)) for t in batch.column(1).to_pylist()]
+            found = [long_fingerprint(h, LONG) for h in sets]
             fp = np.array([f[0] for f in found], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), pa.array([f.tobytes() for f in found], pa.binary())], ["id", "fp", "sketch"])
+            arrays = [pa.array(map(set_digest, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(fp), pa.array([f.tobytes() for f in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["id", "node", "n", "fp", "sketch"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    marked = stored(texts.mapInArrow(compute, f"id {kind}, fp bigint, sketch binary").withColumn("node", F.xxhash64("sketch")), "sketches")
-    nodes = stored(marked.groupBy("node").agg(F.min("id").alias("least_id"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "sketch-nodes")
-    roots = components(similar_links(nodes, REACH, limit))
+    marked = stored(texts.mapInArrow(compute, f"id {kind}, node bigint, n bigint, fp bigint, sketch binary"), "sketches")
+    nodes = stored(marked.groupBy("node").agg(F.min("id").alias("least_id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "sketch-nodes")
+    # Sets of a pair differ in size by the similarity at most, so every pair lies in one of the two ranges whole.
+    short, long = nodes.where(F.col("n") <= SHORT / similarity), nodes.where(F.col("n") >= SHORT)
+    candidates = similar_links(short, *sketch_bounds(similarity, True)).union(similar_links(long, *sketch_bounds(similarity, False)))
+    roots = components(verified_links(candidates, nodes, texts, words, similarity))
     placed = nodes.join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
     classes = placed.join(smallest, "root").select("node", "component_id")

@@ -102,3 +102,32 @@ def test_similar_groups_against_jaccard(spark):
         rows.append((3 * i + 2, " ".join(many)))
     got = {r.doc_id: r.component_id for r in similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[3 * i] == 3 * i and got[3 * i + 1] == 3 * i and got[3 * i + 2] == 3 * i + 2 for i in range(60))
+
+
+def test_similarity_is_verified(spark):
+    from llm.simhash import shingle_hashes
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 9))]
+    texts.append(" ".join(texts[0].split()[:8]))  # 4 of 5 shingles
+    for changed in [*range(3, 13)] * 6:  # some above, some below
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 304)]
+        texts.append(" ".join(words))
+        for at in rng.choice(300, changed, replace=False):
+            words[at] = "other%d" % rng.integers(0, 10**6)
+        texts.append(" ".join(words))
+    sets = [set(shingle_hashes(t, 5).tolist()) for t in texts]
+    alike = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+    assert 10 < sum(x >= 0.8 for x in alike) < 50 and sum(0.6 < x < 0.8 for x in alike) > 10
+    got = {r.doc_id: r.component_id for r in similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[2 * i + 1] == 2 * i for i in range(len(alike))] == [x >= 0.8 for x in alike]
+
+
+def test_blocks_are_verified_whole(spark, monkeypatch):
+    from llm import simhash
+
+    monkeypatch.setattr(simhash, "BLOCK", 3)
+    words = [f"w{i}" for i in range(100)]
+    texts = [" ".join([*words, f"end{i}"]) for i in range(20)]
+    got = similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(i, 0) for i in range(20)]
