@@ -26,19 +26,22 @@ def forced(book: DataFrame) -> DataFrame:
     return one.where("k = 1").select("state", "move", "n")
 
 
-def forced_playout(book: DataFrame, starts: DataFrame, most: int = 128) -> DataFrame:
+def forced_playout(book: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
     """``start, end, steps, phase``: where forced moves lead from each start.
 
     Jumps are doubled: a table of forced states that leads one step ahead is
-    joined with itself to lead two, four, ... ahead, so the number of joins is
-    the logarithm of the longest line or of ``most``.  Each table is written, so
-    that the next round reads it twice instead of making it twice.  Lines,
-    cycles among them, end at ``most`` steps (a power of two).
+    joined with itself to lead two, four, ... ahead, until the longest stops
+    growing, so the number of joins is the logarithm of the longest line or of
+    ``most`` (a power of two), where that is given.  Each table is written, so
+    that the next round reads it twice instead of making it twice.  A state
+    grows with each move, so the one cycle there can be is a move that leads
+    back to its own state; it is no step.
     """
     edges = forced(book)
-    jump = materialised(edges.select("state", next_state(F.col("state"), F.col("move")).alias("to"), F.lit(1).alias("steps")), "jumps")
+    ahead = edges.select("state", next_state(F.col("state"), F.col("move")).alias("to"), F.lit(1).alias("steps"))
+    jump = materialised(ahead.where("to <> state"), "jumps")
     reach = longest = 1
-    while longest == reach and 2 * reach <= most:
+    while longest == reach and (most is None or 2 * reach <= most):
         ahead = jump.select(F.col("state").alias("to"), F.col("to").alias("further"), F.col("steps").alias("more"))
         jump = materialised(jump.join(ahead, "to", "left").select("state", F.coalesce("further", "to").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")), "jumps")
         reach *= 2

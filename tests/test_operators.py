@@ -44,6 +44,15 @@ def test_forced_cycles_end(spark):
     assert L.forced_playout(long, starts.limit(1), most=16).first().steps == 16
 
 
+def test_forced_lines_play_on(spark):
+    long = book(spark, [(">".join("x" * i), "x", 1) for i in range(300)])
+    starts = spark.createDataFrame([("",), ("x",)], "state string")
+    end = ">".join("x" * 300)
+    assert as_set(L.forced_playout(long, starts)) == {("", end, 300, "dry"), ("x", end, 299, "dry")}
+    loop = book(spark, [("a", None, 1), ("b", "a", 1)])
+    assert as_set(L.forced_playout(loop, spark.createDataFrame([("a",), ("b",)], "state string"))) == {("a", "a", 0, "forced"), ("b", "b>a", 1, "dry")}
+
+
 def test_caps(spark):
     rows = spark.createDataFrame([(1, i, "m") for i in range(5)] + [(2, 0, "m")], "g int, t int, move string")
     games = S.gathered(rows, ["g"], ["t"], "move")
