@@ -31,8 +31,6 @@ from .common import shuffle_width, stored
 
 #: Tokens of a block, after which it ends with the document.
 BLOCK_TOKENS = 1_000_000
-#: Times that a word must occur in a block to count there towards the frequent words.
-FREQUENT_IN_BLOCK = 8
 #: The token that ends a text; no word holds white space.
 END = b"\n"
 
@@ -173,9 +171,9 @@ class Frequent:
 
 
 def frequent_words(blocks: DataFrame, most: int) -> list[bytes]:
-    """At most ``most`` words with the greatest sum of counts over blocks where they are frequent."""
+    """At most ``most`` words with the greatest training counts over all blocks."""
     each = blocks.select(F.explode(F.arrays_zip("words", "train")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.train").alias("n"))
-    kept = each.where((F.col("n") >= FREQUENT_IN_BLOCK) & (F.col("word") != F.lit(END)))
+    kept = each.where((F.col("n") > 0) & (F.col("word") != F.lit(END)))
     top = kept.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
     return [bytes(r.word) for r in top.collect()]
 

@@ -76,3 +76,12 @@ def test_odd_rows(spark):
     assert score_texts(df.limit(0), F.lit(False)).count() == 0
     alone = score_texts(df.where("doc_id = 10"), F.lit(True)).first()
     assert alone.train_tokens == 0 and alone.n_known == 0 and math.isfinite(alone.score) and math.isfinite(alone.base_score)
+
+
+def test_frequent_words_do_not_depend_on_blocks(spark):
+    from llm.brown import coded_blocks, frequent_words
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, "often " * 7 + f"rare{i} twice{i // 2}") for i in range(20)], "doc_id long, text string")
+    got = [frequent_words(coded_blocks(docs.repartition(n, "doc_id"), F.lit(False), "doc_id", "text"), 3) for n in (1, 10)]
+    assert got[0] == got[1] == [b"often", b"twice0", b"twice1"]
