@@ -37,6 +37,8 @@ BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary searc
 BOILERPLATE_NAMES = frozenset(
     "ad ads advert advertisement adverts banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar side aside widget comment comments respond reply replies disqus share sharing social related recommended newsletter subscribe subscription signup login cookie cookies consent gdpr notice popup modal overlay pagination pager tags copyright legal".split()
 )
+#: Of these, names that articles give to parts of their own too; prose is not dropped for them.
+AMBIGUOUS_NAMES = frozenset("banner header footer side sidebar aside widget comment comments respond reply replies share sharing social related recommended notice tags copyright legal".split())
 #: Elements that an opening block ends, when they are still open (HTML's implied end tags).
 CLOSES_P = BLOCKS - {"br"}
 SAME_CLOSE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -44,17 +46,17 @@ SCOPES = frozenset("article section div main body table td th ul ol dl aside nav
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "marked", "chars", "tags", "link_chars", "link_tags", "density", "density_sum")
+    __slots__ = ("tag", "parent", "children", "marked", "named", "chars", "tags", "link_chars", "link_tags", "density", "density_sum")
 
-    def __init__(self, tag, parent=None, marked=False):
-        self.tag, self.parent, self.marked = tag, parent, marked
+    def __init__(self, tag, parent=None, marked=False, named=frozenset()):
+        self.tag, self.parent, self.marked, self.named = tag, parent, marked, named
         self.children: list = []  # nodes and strings in page order
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.density_sum = 0.0
 
 
 def is_marked(tag: str, attrs) -> bool:
-    """Whether tag, role, visibility or class and id names say: not article text."""
+    """Whether tag, role or visibility say: not article text."""
     if tag in ("html", "body", "main", "article"):
         return False
     if tag in BOILERPLATE:
@@ -67,11 +69,44 @@ def is_marked(tag: str, attrs) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if name in ("class", "id") and not BOILERPLATE_NAMES.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
     return False
 
 
+def boilerplate_names(tag: str, attrs) -> frozenset:
+    """Words of class and id that say: perhaps not article text."""
+    if tag in ("html", "body", "main", "article"):
+        return frozenset()
+    return frozenset(w for name, value in attrs if name in ("class", "id") for w in re.split(r"[^a-z]+", (value or "").lower())) & BOILERPLATE_NAMES
+
+
+def mark_named(root: Node) -> None:
+    """Mark named nodes that their content does not speak against.
+
+    A subtree with an <article> or <main> stays; on a page without, so does one
+    with most of the page's plain text.  So does prose, half of it outside links at least, under an
+    ambiguous name: in an article or as a text block of its own.
+    """
+    order, stack = [], [(root, False)]
+    while stack:
+        node, inside = stack.pop()
+        order.append((node, inside))
+        inside = inside or node.tag in ("article", "main")
+        stack.extend((c, inside) for c in node.children if isinstance(c, Node))
+    plain, links, holds = {}, {}, {}
+    for node, _ in reversed(order):
+        nodes = [c for c in node.children if isinstance(c, Node) and not c.marked]
+        own = sum(len("".join(c.split())) for c in node.children if isinstance(c, str))
+        plain[node], links[node] = own + sum(plain[c] for c in nodes), sum(links[c] for c in nodes)
+        if node.tag == "a":
+            plain[node], links[node] = 0, links[node] + plain[node]
+        holds[node] = any(c.tag in ("article", "main") or holds[c] for c in nodes)
+    for node, inside in order:
+        if not node.named or holds[node] or not holds[root] and 2 * plain[node] > plain[root]:
+            continue
+        block = inside or node.tag in ("p", "section", "li", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6")
+        node.marked |= not (block and node.named <= AMBIGUOUS_NAMES and plain[node] > links[node])
+
+
 class TreeBuilder(HTMLParser):
     """Builds the tree as browsers do for unclosed paragraphs, items and cells."""
 
@@ -100,7 +135,7 @@ class TreeBuilder(HTMLParser):
             self._leave({"p"})
         if tag in SAME_CLOSE:
             self._leave(SAME_CLOSE[tag])
-        node = Node(tag, self.at, is_marked(tag, attrs))
+        node = Node(tag, self.at, is_marked(tag, attrs), boilerplate_names(tag, attrs))
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
@@ -144,6 +179,7 @@ def parse(page: str) -> Node:
     builder = TreeBuilder()
     builder.feed(page)
     builder.close()
+    mark_named(builder.root)
     return builder.root
 
 

@@ -1,6 +1,7 @@
 import html
 import re
 
+import pytest
 from llm.html_text import block_texts, extract_main_text, main_text, measure, parse
 
 
@@ -53,3 +54,17 @@ def test_odd_rows(spark):
     got = extract_main_text(df).collect()
     assert [(r.page_id, r.n_chars) for r in got] == [(1, 0), (2, 0), (None, 0), (4, 1), (4, 399_999), (5, 4)]
     assert extract_main_text(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["content with-sidebar", "no-sidebar", "has-header", "page menu-open"])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_names_of_wrappers_drop_nothing(name, tag):
+    prose = " ".join(f"word{i}" for i in range(60))
+    page = f"<body><div class='{name}'><{tag}><p>{prose}</p><p class='legal'>The law says so in many words.</p></{tag}></div><div class='sidebar'><a href=x>more</a></div></body>"
+    assert main_text(page) == f"{prose} The law says so in many words."
+
+
+def test_names_of_links_and_ads_still_drop():
+    prose = " ".join(f"word{i}" for i in range(60))
+    page = f"<body><article><p>{prose}</p><p class='ad'>Buy this now.</p><div class='related'><a href=x>Another story</a></div></article></body>"
+    assert main_text(page) == prose
