@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .tokens import Encoder, default_path
+from .tokens import Tokenizer, default_path, kept
 
 
 @dataclass(frozen=True)
@@ -113,12 +113,12 @@ def tokenised_pieces(docs: DataFrame, path: str, size: int, id_col: str, text_co
     def cut(batches):
         from pyspark import TaskContext
 
-        encode, block = Encoder(path), TaskContext.get().partitionId()
+        tokenizer, block = kept(Tokenizer, path), TaskContext.get().partitionId()
         seen = np.zeros(size + 1, np.int64)
         for batch in batches:
-            ids, out = batch.column(0).to_pylist(), []
-            for doc, body in zip(ids, encode.many([t or "" for t in batch.column(1).to_pylist()])):
-                body += b"\0\0\0\0"
+            out = []
+            for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
+                body = (tokenizer.packed(text) if text else b"") + b"\0\0\0\0"
                 total = len(body) // 4
                 start, piece = 0, 0
                 stop = total % size or size

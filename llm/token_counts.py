@@ -1,10 +1,11 @@
 """Token counts without ids: pieces per distinct pre-token, joined to frequencies.
 
-For each text the operator takes the frequency of every pre-token, looks up
-how many pieces the pre-token has, and sums frequency times pieces.  How many
-pieces a pre-token has is a pure function of its characters, so a worker works
-it out once for each distinct pre-token it meets and the join needs no
-shuffle: texts never leave the task that read them.
+For each text the operator takes the frequency of every chunk (a pre-token, or
+a few that no space parts), looks up how many pieces the chunk has, and sums
+frequency times pieces.  How many pieces a chunk has is a pure function of its
+characters, so a worker process works it out when it first meets the chunk and
+keeps it for its later tasks; the join needs no shuffle, and texts never leave
+the task that read them.
 """
 
 from __future__ import annotations
@@ -15,38 +16,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import MEMO_ENTRIES, _Memo, added_strings, default_path, library_ids, load, splits_at_spaces
+from .tokens import Recent, Tokenizer, default_path, kept
 
 
 class PieceCounter:
-    """Counts tokens of whole texts; ``self.pieces`` has one entry a distinct pre-token."""
+    """Counts tokens of whole texts; ``self.pieces`` has one entry a distinct chunk."""
 
     def __init__(self, path: str):
-        self.tokenizer = load(path)
-        self.chunked = splits_at_spaces(path)
-        self.added = added_strings(path) if self.chunked else []
-        self.pieces: dict[str, int] = {}
-        self.chunks = _Memo(self._of_chunk)
+        self.tokenizer = Tokenizer(path)
+        self.pieces = Recent(self._of_chunk)
 
-    def _of_chunk(self, chunk: str) -> int:
-        total = 0
-        for pre, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(chunk):
-            n = self.pieces.get(pre)
-            if n is None:
-                if len(self.pieces) >= MEMO_ENTRIES:
-                    self.pieces.clear()
-                n = self.pieces[pre] = len(self.tokenizer.model.tokenize(pre))
-            total += n
-        return total
+    def _of_chunk(self, chunk: str) -> int | None:
+        """None for chunks whose tokens depend on what stands beside them."""
+        body = chunk[1:] if chunk[:1] == " " else chunk
+        free = body and not body[0].isspace() and not body[-1].isspace()
+        return len(self.tokenizer.ids(chunk)) if free or not chunk else None
 
     def __call__(self, text: str) -> int:
-        if self.chunked and "\0" not in text and not any(a in text for a in self.added):
+        t = self.tokenizer
+        if t.fast is not None and "\0" not in text and not any(a in text for a in t.added):
             try:
-                pieces = self.chunks
+                pieces = self.pieces
                 return sum([n * pieces[c] for c, n in Counter(text.replace(" ", "\0 ").split("\0")).items()])
             except TypeError:
                 pass
-        return len(library_ids(self.tokenizer, text))
+        return len(t.ids(text))
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str | None = None, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -58,7 +52,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str | None = None, limit: int
     path = tokenizer_path or default_path()
 
     def count(batches):
-        counter = PieceCounter(path)
+        counter = kept(PieceCounter, path)
         for batch in batches:
             n = [counter(t) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])

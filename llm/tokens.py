@@ -1,25 +1,33 @@
-"""Public tokenizers in Python workers, with one encoding per distinct chunk.
-
-A text is cut in front of every space.  With a byte-level BPE whose
-pre-tokenizer lets a space only start a pre-token, the encoding of a text is
-the concatenation of the encodings of its chunks, unless white space touches
-white space or an added token's string occurs; those texts go to the library
-whole.  So each distinct chunk is encoded once a worker and looked up after
-that.  The table of chunks is emptied at a fixed size, which bounds memory and
-changes no result.
+"""Public tokenizers in Python workers.
+
+The library decides what a token is: ``tokenizers`` for .json files,
+``sentencepiece`` for .model files.  For a byte-level BPE whose merges are
+numbered in the order of their ids, the same merges are also run by
+``tiktoken``, which is several times faster, on texts whose characters all lie
+in ranges that both libraries' tables class alike; texts with other characters
+or with an added token's string go to the library.
+
+A text can also be cut in front of every space: a space only starts a
+pre-token, so the tokens of a text are those of its chunks, unless white space
+touches white space.  That is what counting by pre-token rests on.
+
+Workers are reused, so what is expensive to set up is kept in the process.
 """
 
 from __future__ import annotations
 
 import json
-from array import array
+import re
+from collections.abc import Callable
 
 import numpy as np
 
 from .common import single_threaded
 
-#: Entries in a worker's table of chunks, about 100 bytes each.
-MEMO_ENTRIES = 1_000_000
+#: The pre-tokenizer of byte-level BPE (a fixed value of the format).
+BYTE_LEVEL = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: A character outside of blocks that have long been settled: Latin, Greek, Cyrillic, kana, Han, Hangul, punctuation.
+_unsettled = re.compile("[^\x00-ɏΑ-ωА-я‐-›ぁ-ゖァ-ヺ一-龥가-힣]").search
 
 
 def default_path() -> str:
@@ -47,95 +55,113 @@ def library_ids(tokenizer, text: str) -> list[int]:
     return tokenizer.encode(text, num_threads=1)
 
 
-def splits_at_spaces(path: str) -> bool:
-    """Whether a space can only start a pre-token, so that chunks encode alone."""
-    if not path.endswith(".json"):
-        return False
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    pre = spec.get("pre_tokenizer") or {}
+def byte_of_character() -> dict[str, int]:
+    """Which byte each character of a byte-level vocabulary stands for."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def _joined(merge) -> str:
+    return "".join(merge if isinstance(merge, list) else merge.split(" ", 1))
+
+
+class Tokenizer:
+    """Ids of whole texts, as the library gives them."""
+
+    def __init__(self, path: str):
+        if not path.endswith((".json", ".model")):
+            raise ValueError(f"neither .json nor .model: {path}")
+        self.path, self._library = path, None
+        self.added: list[str] = []
+        self.fast: Callable[[str], list[int]] | None = None
+        if path.endswith(".json"):
+            with open(path, encoding="utf-8") as f:
+                spec = json.load(f)
+            self.added = [t["content"] for t in spec.get("added_tokens", [])]
+            if _plain_byte_level(spec):
+                self.fast = _merger(spec, set(self.added))
+
+    @property
+    def library(self):
+        if self._library is None:
+            self._library = load(self.path)
+        return self._library
+
+    def plain(self, text: str) -> bool:
+        """Whether merges alone decide and both libraries read every character alike."""
+        return self.fast is not None and (text.isascii() or not _unsettled(text)) and not any(a in text for a in self.added)
+
+    def ids(self, text: str) -> list[int]:
+        return self.fast(text) if self.plain(text) else library_ids(self.library, text)
+
+    def packed(self, text: str) -> bytes:
+        """Ids as unsigned 32-bit little-endian integers."""
+        return np.array(self.ids(text), "<u4").tobytes()
+
+
+def _plain_byte_level(spec: dict) -> bool:
+    """Byte-level BPE in which a space can only start a pre-token and nothing else changes the text."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
     return (
         spec.get("normalizer") is None
         and spec.get("post_processor") is None
         and pre.get("type") == "ByteLevel"
         and pre.get("use_regex", True)
         and not pre.get("add_prefix_space")
+        and model.get("type") == "BPE"
+        and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
     )
 
 
-def added_strings(path: str) -> list[str]:
-    with open(path, encoding="utf-8") as f:
-        return [t["content"] for t in json.load(f).get("added_tokens", [])]
+def _merger(spec: dict, added: set[str]):
+    """The vocabulary's merges in ``tiktoken``, if a merge comes before another exactly when its id does."""
+    vocabulary, back = spec["model"]["vocab"], byte_of_character()
+    made = [vocabulary.get(_joined(m), -1) for m in spec["model"]["merges"]]
+    pieces = {w: i for w, i in vocabulary.items() if w not in added}
+    if made != sorted(set(made)) or -1 in made or len(made) + 256 != len(pieces) or not all(c in back for w in pieces for c in w):
+        return None
+    try:
+        import tiktoken
+    except ImportError:
+        return None
+    ranks = {bytes(back[c] for c in w): i for w, i in pieces.items()}
+    return tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
 
 
-class _Memo(dict):
-    """Chunk -> value; None for chunks whose encoding depends on what stands beside them."""
+_kept: dict = {}
 
-    def __init__(self, make):
-        self.make = make
 
-    def __missing__(self, chunk: str):
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
-        body = chunk[1:] if chunk[:1] == " " else chunk
-        free = body and not body[0].isspace() and not body[-1].isspace()
-        value = self[chunk] = self.make(chunk) if free or not chunk else None
-        return value
+def kept(make, source):
+    """``make(source)``, once in this process; one tool is kept, and another one takes its place.
 
+    ``source`` is compared by identity, or by value if it is a string.  It is
+    held with the tool, so that its identity stays its own.
+    """
+    same = _kept.get("make") is make and (_kept["source"] is source or isinstance(source, str) and _kept["source"] == source)
+    if not same:
+        _kept.clear()
+        _kept.update(make=make, source=source, tool=make(source))
+    return _kept["tool"]
 
-#: Chunks encoded together when they are new to a worker.
-TOGETHER = 500
 
+class Recent(dict):
+    """Values by key, made when they are first asked for.
 
-class Encoder:
-    """Ids of whole texts as unsigned 32-bit little-endian bytes."""
+    At most two times ``size`` entries: when it is full the table becomes the
+    old one, and what is asked for again moves over.  Memory is bounded, and no
+    result depends on what is held.
+    """
 
-    def __init__(self, path: str):
-        self.tokenizer = load(path)
-        self.chunked = splits_at_spaces(path)
-        self.added = added_strings(path) if self.chunked else []
-        self.memo = _Memo(self._pack)
-        if self.chunked:
-            # In a byte-level vocabulary each character of an entry stands for one byte.
-            vocabulary = self.tokenizer.get_vocab()
-            self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
-            self.n_bytes[list(vocabulary.values())] = list(map(len, vocabulary))
-
-    def _pack(self, text: str) -> bytes:
-        return array("I", library_ids(self.tokenizer, text)).tobytes()
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Encode new chunks many at a time; each starts with a space, so none runs into the next."""
-        if len(self.memo) + len(chunks) > MEMO_ENTRIES:
-            self.memo.clear()
-        groups = [chunks[i : i + TOGETHER] for i in range(0, len(chunks), TOGETHER)]
-        for group, encoded in zip(groups, self.tokenizer.encode_batch_fast(list(map("".join, groups)), add_special_tokens=False)):
-            ids = np.array(encoded.ids, np.uint32)
-            ends = np.cumsum(self.n_bytes[ids])
-            want = np.cumsum([len(c.encode()) for c in group])
-            stops = np.searchsorted(ends, want)
-            if stops[-1] >= len(ends) or not np.array_equal(ends[stops], want):
-                continue  # one at a time, when they are looked up
-            body = ids.astype("<u4").tobytes()
-            at = 0
-            for chunk, stop in zip(group, (4 * (stops + 1)).tolist()):
-                self.memo[chunk] = body[at:stop]
-                at = stop
-
-    def __call__(self, text: str) -> bytes:
-        return self.many([text])[0]
-
-    def many(self, texts: list[str]) -> list[bytes]:
-        if not self.chunked:
-            return [self._pack(t) for t in texts]
-        memo, out = self.memo, []
-        for at in range(0, len(texts), 256):
-            part = texts[at : at + 256]
-            cut = [None if "\0" in t or any(a in t for a in self.added) else t.replace(" ", "\0 ").split("\0") for t in part]
-            self._learn([c for c in set().union(*(c for c in cut if c)) if c not in memo and len(c) > 1 and c[0] == " " and not c[1].isspace() and not c[-1].isspace()])
-            for text, chunks in zip(part, cut):
-                try:
-                    out.append(b"".join(map(memo.__getitem__, chunks)))
-                except TypeError:
-                    out.append(self._pack(text))
-        return out
+    def __init__(self, make, size: int = 200_000):
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key, self)
+        if value is self:
+            value = self.make(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value

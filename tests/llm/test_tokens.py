@@ -1,8 +1,9 @@
+from functools import cache
+
 import numpy as np
 import pytest
-from llm import tokens
 from llm.token_counts import PieceCounter, token_counts
-from llm.tokens import Encoder, default_path, library_ids, load
+from llm.tokens import Recent, Tokenizer, _unsettled, default_path, kept, library_ids, load
 
 ODD = [
     "", "a", " ", "  a", " a  b ", "a\n b", "x \ny", "a\n\n b\n", "don't 's 've", "<|endoftext|> x", "x<|endoftext|>", "\0 a b", "日本語 テスト", "x  y", "１２ 3٣",
@@ -10,19 +11,66 @@ ODD = [
 ]
 
 
+@cache
+def library():
+    return load(default_path())
+
+
+@cache
+def ours():
+    return Tokenizer(default_path())
+
+
+@cache
+def counter():
+    return PieceCounter(default_path())
+
+
 @pytest.mark.parametrize("text", ODD)
 def test_ids_and_counts_are_the_librarys(text):
-    want = library_ids(load(default_path()), text)
-    assert np.frombuffer(Encoder(default_path())(text), "<u4").tolist() == want
-    assert PieceCounter(default_path())(text) == len(want)
+    want = library_ids(library(), text)
+    assert np.frombuffer(ours().packed(text), "<u4").tolist() == want
+    assert counter()(text) == len(want)
 
 
-def test_table_of_chunks_may_overflow(monkeypatch):
-    monkeypatch.setattr(tokens, "MEMO_ENTRIES", 10)
+def test_table_of_chunks_may_overflow():
     texts = [" ".join(f"w{i * j}" for i in range(40)) for j in range(20)] + ODD
-    tokenizer = load(default_path())
-    for text, ids in zip(texts, Encoder(default_path()).many(texts)):
-        assert np.frombuffer(ids, "<u4").tolist() == library_ids(tokenizer, text)
+    tokenizer, counter = load(default_path()), PieceCounter(default_path())
+    counter.pieces = Recent(counter._of_chunk, 10)
+    assert [counter(t) for t in texts] == [len(library_ids(tokenizer, t)) for t in texts]
+    assert len(counter.pieces) <= 10 and len(counter.pieces.old) <= 10
+
+
+def test_both_libraries_read_settled_characters_alike():
+    ours, library = Tokenizer(default_path()), load(default_path())
+    settled = [c for c in map(chr, (*range(0x250), *range(0x370, 0x530), *range(0x2000, 0x2100), *range(0x3000, 0x3100), *range(0x4E00, 0x9FFF, 7), *range(0xAC00, 0xD7A4, 7))) if not _unsettled(c)]
+    assert len(settled) > 2500 and ours.fast is not None
+    texts = ["".join(f"{c}a1 {c}{c} {c} a{c}'s\n{c}" for c in settled[i : i + 20]) for i in range(0, len(settled), 20)]
+    for text in texts:
+        assert ours.plain(text) and ours.ids(text) == library_ids(library, text)
+
+
+def test_merges_out_of_order_go_to_the_library(tmp_path):
+    import json
+
+    with open(default_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    merges = spec["model"]["merges"]
+    merges[5], merges[6] = merges[6], merges[5]
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    assert Tokenizer(path).fast is None and Tokenizer(path).ids("some words here") == library_ids(load(path), "some words here")
+
+
+def test_one_tool_is_kept():
+    class Thing:
+        def __init__(self, source):
+            self.source = source
+
+    a, b = [1], [1]
+    first = kept(Thing, a)
+    assert kept(Thing, a) is first and kept(Thing, b) is not first and kept(Thing, "x") is kept(Thing, "".join(["x"]))
 
 
 def test_documents(spark):
