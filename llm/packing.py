@@ -10,6 +10,10 @@ in descending order.  Bins with the same history form one class with a
 multiplicity.  Each item then reads its place from its rank among the items of
 its length: no item is shuffled, and a length that a third of all rows share
 costs no more than any other.
+
+With the default capacities only tokens can bind: no 2048 pieces are shorter
+than a token, and lengths that add up to 2048 have squares that add up to less
+than its square.  The other two bind where they are set tighter.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -162,26 +166,25 @@ def pack(
     places = docs.sparkSession.sparkContext.broadcast(slots(best_fit(histogram, capacity, weights, rule)))
 
     # Ranks of a length go through the blocks in turn; the blocks' counts, not the items, are summed up.
-    from pyspark.sql import Window
-
     turn = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    base = by_block.select("length", "block", F.coalesce(F.sum("count").over(turn), F.lit(0)).alias("base"))
-    ranked = pieces.join(base, ["length", "block"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("local")).alias("rank"))
-
-    def place(batches):
-        for batch in batches:
-            length = batch.column(3).to_numpy()
-            rank = batch.column(5).to_numpy()
-            sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-            order = np.argsort(length, kind="stable")
-            lengths, firsts = np.unique(length[order], return_index=True)
-            for n, rows in zip(lengths.tolist(), np.split(order, firsts[1:])):
-                segments = places.value[n]
-                at = np.searchsorted(segments[:, 0], rank[rows], "right") - 1
-                sequence[rows] = segments[at, 1] + rank[rows] - segments[at, 0]
-                offset[rows] = segments[at, 2]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], ["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-
+    base = by_block.select("block", "length", F.coalesce(F.sum("count").over(turn), F.lit(0)).alias("base"))
+
+    def place(table, bases):
+        length = table.column("length").to_numpy()
+        first = np.zeros(size + 1, np.int64)
+        first[bases.column("length").to_numpy()] = bases.column("base").to_numpy()
+        rank = first[length] + table.column("local").to_numpy()
+        sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+        order = np.argsort(length, kind="stable")
+        lengths, firsts = np.unique(length[order], return_index=True)
+        for n, rows in zip(lengths.tolist(), np.split(order, firsts[1:])):
+            segments = places.value[n]
+            at = np.searchsorted(segments[:, 0], rank[rows], "right") - 1
+            sequence[rows] = segments[at, 1] + rank[rows] - segments[at, 0]
+            offset[rows] = segments[at, 2]
+        return table.select(["id", "piece", "start", "length", "ids_crc32"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+
+    # A block is what one task has read; it has a base for each length that it holds, ``size`` at most.
     kind = docs.schema[id_col].dataType.simpleString()
-    packed = ranked.mapInArrow(place, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
-    return packed.withColumnRenamed("id", id_col)
+    schema = f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
+    return pieces.groupBy("block").cogroup(base.groupBy("block")).applyInArrow(place, schema).withColumnRenamed("id", id_col)
