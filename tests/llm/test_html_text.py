@@ -2,7 +2,7 @@ import html
 import re
 
 import pytest
-from llm.html_text import block_texts, extract_main_text, main_text, measure, parse
+from llm.html_text import Node, block_texts, core_and_threshold, extract_main_text, main_text, measure, parse
 
 
 def test_pages_against_their_articles(spark):
@@ -68,3 +68,94 @@ def test_names_of_links_and_ads_still_drop():
     prose = " ".join(f"word{i}" for i in range(60))
     page = f"<body><article><p>{prose}</p><p class='ad'>Buy this now.</p><div class='related'><a href=x>Another story</a></div></article></body>"
     assert main_text(page) == prose
+
+
+def article_of(page):
+    inner = page[page.index("<article>") : page.rindex("</article>")]
+    return " ".join(html.unescape(re.sub(r"<[^>]+>", "", re.sub(r"</?(p|h1|br)\b[^>]*>", "\n", inner))).split())
+
+
+def test_density_alone_finds_most_articles():
+    """No tag, role or class tells anything here: every container is a plain div."""
+    import pyarrow.parquet as pq
+
+    found = 0
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    for page in pages:
+        blank = re.sub(r"<(/?)(article|nav|footer)>", r"<\1div>", page).replace(' class="ad"', "")
+        found += main_text(blank, lists=False) == article_of(page)
+        assert main_text(re.sub(r"<(/?)article>", r"<\1div>", page)).endswith(article_of(page)[-40:])
+    assert found >= 0.8 * len(pages)
+
+
+def test_links_beside_the_article_in_one_wrapper():
+    links = "".join(f"<a href='/{i}'>link number {i}</a> " for i in range(30))
+    prose = "".join(f"<p>Paragraph {i} has a good number of plain words in it, more than any link has.</p>" for i in range(5))
+    got = main_text(f"<body><div id=w><div class=c1>{prose}</div><div class=c2>{links}</div></div></body>")
+    assert "link number" not in got and got.count("Paragraph") == 5
+    got = main_text(f"<body><div id=w><h2>Title</h2><div class=c1>{prose}</div><div class=c2><ul>{links}</ul></div></div></body>")
+    assert got.startswith("Title Paragraph 0") and "link number" not in got and got.count("Paragraph") == 5
+
+
+def test_articles_in_parts():
+    part = lambda name, n: "<section>" + "".join(f"<p>{name} {i} goes on for some time, with words enough for a paragraph.</p>" for i in range(n)) + "</section>"
+    got = main_text(f"<body><div><a href=/>Home</a> <a href=/b>Blog</a></div><div><h1>Story</h1>{part('First', 6)}{part('Second', 4)}{part('Third', 5)}</div></body>")
+    assert (got.count("First"), got.count("Second"), got.count("Third"), got.startswith("Story")) == (6, 4, 5, True) and "Home" not in got
+
+
+@pytest.mark.parametrize("tag", ["button", "noscript", "select", "svg", "object"])
+def test_unclosed_skipped_elements_end_at_the_next_block(tag):
+    assert main_text(f"<body><article><p>one</p><{tag}>not this<p>two words</p><div>three</div></article></body>") == "one two words three"
+    assert main_text(f"<body><article><p>one</p><{tag}>not this<p>nor this</p></{tag}><p>two</p></article></body>") == "one two"
+
+
+def test_unclosed_elements_within_unclosed_elements():
+    assert main_text("<p>a</p><button>x<div>b<noscript>y<p>c</p></div><p>d") == "a b c d"
+
+
+def test_stray_end_tags_in_deep_pages():
+    page = "<div>" * 20_000 + "text" + "</b></p></span>" * 40_000
+    assert main_text(page) == "text"
+
+
+def by_hand(node, body):
+    """C, T, LC, LT by walking the whole subtree for each node."""
+    import math
+
+    def walk(n, in_link):
+        c = t = lc = lt = 0
+        for x in n.children:
+            if isinstance(x, str):
+                k = len("".join(x.split()))
+                c, lc = c + k, lc + (k if in_link else 0)
+            else:
+                a, b, d, e = walk(x, in_link or x.tag == "a")
+                c, t, lc, lt = c + a, t + 1 + b, lc + d, lt + e + (x.tag == "a")
+        return c, t, lc, lt
+
+    c, t, lc, lt = walk(node, node.tag == "a")
+    bc, _, blc, _ = walk(body, False)
+    if not c:
+        return 0.0
+    base = math.log(c / max(1, c - lc) * lc + blc / max(1, bc) * c + math.e)
+    return c / max(1, t) * math.log(max(1.0, c / max(1, lc) * max(1, t) / max(1, lt))) / max(0.1, math.log(base))
+
+
+def test_densities_by_hand():
+    import pyarrow.parquet as pq
+
+    for page in pq.read_table("/root/testdata/sf0.001/pages.parquet").column("html").to_pylist()[:25]:
+        root = parse(page)
+        body, stack, nodes = measure(root), [root], []
+        while stack:
+            node = stack.pop()
+            nodes.append(node)
+            stack.extend(c for c in node.children if isinstance(c, Node))
+        for node in nodes:
+            assert node.density == pytest.approx(by_hand(node, body), rel=1e-12)
+        core, threshold = core_and_threshold(body)
+        path, node = [core.density], core
+        while node is not body:
+            node = node.parent
+            path.append(node.density)
+        assert threshold == min(path)
