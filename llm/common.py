@@ -35,7 +35,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Remove a table that ``stored`` wrote and nothing reads any more."""
+    context = table.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fold(key: str | Column, parts: int) -> Column:
@@ -52,3 +61,26 @@ def single_threaded() -> None:
     """Called in Python workers: parallelism comes from Spark's tasks."""
     for name in ("TOKENIZERS_PARALLELISM", "OMP_NUM_THREADS", "RAYON_NUM_THREADS"):
         os.environ[name] = "false" if name.startswith("TOK") else "1"
+
+
+#: Keys that rows may crowd on, at most, and the fewest rows that make a crowd.
+CROWDS, CROWD = 10_000, 10_000
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, n_rows: str) -> DataFrame:
+    """Inner join on ``key``, in which no task gathers the rows of a frequent key.
+
+    ``facts`` says in ``n_rows`` how many of ``rows`` have its key.  Keys with
+    10,000 rows and a ten-thousandth of all rows at least are met where their
+    rows lie; there are 10,000 of them at most, which bounds what is broadcast.
+    The other keys are shuffled.
+    """
+    total, most, fewest = facts.agg(F.sum(n_rows), F.max(n_rows), F.min(n_rows)).first()
+    least = max(CROWD, (total or 0) // CROWDS)
+    if (most or 0) < least:
+        return rows.join(facts.drop(n_rows), key)
+    if fewest >= least:
+        return rows.join(F.broadcast(facts.drop(n_rows)), key)
+    many, few = facts.where(F.col(n_rows) >= least).drop(n_rows), facts.where(F.col(n_rows) < least).drop(n_rows)
+    apart = rows.join(F.broadcast(many.select(key).distinct()), key, "left_anti")
+    return rows.join(F.broadcast(many), key).unionByName(apart.join(few, key))

@@ -1,12 +1,11 @@
 """Exact top-k inner products by Fagin's threshold algorithm.
 
-Vectors are cut into blocks.  A block keeps one list a dimension, its vectors
-sorted by that component.  For a query the lists are walked in step, from the
-end where the query's weight gains most; every vector that comes up is scored
-in full, and the walk stops when the threshold, the best score that anything
-not yet seen could have, is below the kth best score so far.  Scores are
-integers, so results are exact.  Queries meet blocks in blocks; the kth score
-of earlier blocks starts the next block's walk.
+Vectors are dealt into blocks by their hash.  A block keeps one list a
+dimension, its vectors sorted by that component.  For a query the lists are
+walked in step, from the end where the query's weight gains most; every vector
+that comes up is scored in full.  The walk ends when the threshold, the best
+score that anything not yet seen could have, is below the kth best score, or
+when nothing is left unseen.  Scores are integers, so results are exact.
 
 Equal vectors count as one with many ids: of those ids only the k + 1 smallest
 can be in an answer, so a vector that a third of all rows share costs one entry.
@@ -19,11 +18,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import spread_join, stored
 
-#: Vectors in a block and queries in a batch: what one task holds.
-BLOCK = 8192
-QUERIES = 1024
+#: Components of a block of vectors and of a batch of queries, and batches that meet a block in one task.
+BLOCK, BATCH, TOGETHER = 4096 * 64, 1024 * 64, 16
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
@@ -41,12 +39,11 @@ class SortedLists:
         self.order = np.argsort(vectors, axis=0, kind="stable").astype(np.int32)
         self.values = np.take_along_axis(self.vectors, self.order, axis=0)
 
-    def search(self, query: np.ndarray, k: int, floor) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions and scores of all vectors that can be among the k best.
 
-        ``floor`` is a score that k vectors elsewhere reach, or None.  The walk
-        goes on while the threshold is at least the kth score, so that ties are
-        found whole.
+        The walk goes on while the threshold is at least the kth score, so that
+        ties are found whole.
         """
         n, query = len(self.vectors), query.astype(self.exact)
         used = np.nonzero(query)[0]
@@ -54,33 +51,27 @@ class SortedLists:
             return np.arange(n), np.zeros(n, self.exact)
         down, up = used[query[used] > 0], used[query[used] < 0]
         seen, places, scores = np.zeros(n, bool), [], []
-        best = np.zeros(0, self.exact)
+        best, unseen = np.zeros(0, self.exact), n
         depth, step = 0, 8
-        while depth < n:
+        while unseen:
             stop = min(n, depth + step)
             before = seen.copy()
             seen[self.order[n - stop : n - depth, down]] = True
             seen[self.order[depth:stop, up]] = True
-            # Once most vectors have come up, scoring the rest costs less than walking on.
-            rest = 2 * np.count_nonzero(seen) > n
-            new = np.flatnonzero(~before) if rest else np.flatnonzero(seen & ~before)
+            new = np.flatnonzero(seen & ~before)
             if len(new):
-                s = (self.vectors @ query)[new] if 4 * len(new) > n else self.vectors[new] @ query
+                s = self.vectors[new] @ query
                 places.append(new)
                 scores.append(s)
+                unseen -= len(new)
                 best = np.concatenate([best, s])
                 if len(best) > k:
                     best = np.partition(best, len(best) - k)[len(best) - k :]
-            if rest:
-                break
             # The threshold at this depth; no vector further down can score more.
             limit = self.values[n - stop, down] @ query[down] + self.values[stop - 1, up] @ query[up]
-            kth = best.min() if len(best) >= k else None
-            if floor is not None:
-                kth = floor if kth is None else max(kth, floor)
-            if kth is not None and limit < kth:
+            if len(best) >= k and limit < best.min():
                 break
-            depth, step = stop, step * 4
+            depth, step = stop, step * 2
         return np.concatenate(places), np.concatenate(scores)
 
 
@@ -91,31 +82,34 @@ def _exact(vectors: np.ndarray):
     return np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else np.int64 if bound < 2**62 else object
 
 
-def search_block(vectors: np.ndarray, ids: list, queries: np.ndarray, k: int, floors: dict | None = None) -> list[list[tuple]]:
-    """For each query the k best (score, id) of the block, best first, ties to the smaller id.
-
-    ``floors`` has, by query, the kth best score of earlier blocks: what scores
-    less may be missing from the result.
-    """
-    floors = {} if floors is None else floors
+def search_block(vectors: np.ndarray, ids: list, queries: np.ndarray, k: int) -> list[list[tuple]]:
+    """For each query the k best (score, id) of the block, best first, ties to the smaller id."""
     exact = _exact(np.concatenate([vectors, queries]))
     lists = SortedLists(vectors)
     lists.exact, lists.vectors, lists.values = exact, lists.vectors.astype(exact), lists.values.astype(exact)
     out = []
     for q in queries:
-        name = q.tobytes() if q.dtype != object else repr(q.tolist())
-        places, scores = lists.search(q, k, floors.get(name))
+        places, scores = lists.search(q, k)
         if len(places) > k:
             kth = np.partition(scores, len(scores) - k)[len(scores) - k]
             near = scores >= kth
             places, scores = places[near], scores[near]
         hits = [(int(s), i) for p, s in zip(places.tolist(), scores.tolist()) for i in ids[p]]
         out.append(sorted(hits, key=lambda h: (-h[0], h[1]))[:k])
-        if len(out[-1]) == k:
-            floors[name] = max(out[-1][-1][0], floors.get(name, out[-1][-1][0]))
     return out
 
 
+def packed_vector(v: np.ndarray) -> bytes:
+    """Integers of 2 bytes where they all fit, else of 8; the first byte says which.  Equal vectors pack alike."""
+    small = v.astype(np.int16)
+    return b"\2" + small.tobytes() if np.array_equal(small, v) else b"\x08" + v.astype(np.int64).tobytes()
+
+
+def unpacked_vectors(packed: list[bytes]) -> np.ndarray:
+    """One row a vector; all have the same number of components."""
+    return np.array([np.frombuffer(p, np.int16 if p[0] == 2 else np.int64, offset=1) for p in packed], np.int64)
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, <id>, score`` for every row that ``is_query`` selects.
 
@@ -129,94 +123,65 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
     need = k + 1
     ints = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v"), is_query.alias("asks")).where("id is not null and v is not null and size(v) > 0")
 
+    def packed(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            flat, ends = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.asarray(lists.offsets)
+            ends = ends - ends[0]
+            v = [packed_vector(flat[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends), pa.int64()), pa.array(v, pa.binary()), batch.column(2)], ["id", "width", "v", "asks"])
+
+    rows = stored(ints.mapInArrow(packed, "id bigint, width bigint, v binary, asks boolean"), "packed")
+
     # Equal vectors become one; first within a task, then across tasks.
     def smallest(batches):
-        kept: dict[bytes, list] = {}
+        kept: dict[tuple, list] = {}
 
-        def rows():
-            v = pa.array([v for v, ids in kept.items() for _ in ids], pa.binary())
-            ids = pa.array([x for ids in kept.values() for x in ids], pa.int64())
+        def out():
+            names = [(w, v, i) for (w, v), ids in kept.items() for i in ids]
             kept.clear()
-            return pa.RecordBatch.from_arrays([v, ids], ["v", "id"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*names)) or [()] * 3, [pa.int64(), pa.binary(), pa.int64()])], ["width", "v", "id"])
 
         for batch in batches:
-            lists = batch.column(1)
-            flat, ends = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.asarray(lists.offsets)
-            ends = ends - ends[0]
-            for i, x in enumerate(batch.column(0).to_pylist()):
-                ids = kept.setdefault(flat[ends[i] : ends[i + 1]].tobytes(), [])
+            for x, width, v in zip(*(c.to_pylist() for c in batch.columns)):
+                ids = kept.setdefault((width, v), [])
                 if x not in ids:
                     ids.append(x)
                     ids.sort()
                     del ids[need:]
-            if len(kept) >= 4 * BLOCK:
-                yield rows()
-        yield rows()
+            if len(kept) >= 32_768:
+                yield out()
+        yield out()
 
     # A vector has at most k + 1 rows a task from here on, however many share it.
-    parts = ints.select("id", "v").mapInArrow(smallest, "v binary, id bigint")
-    firsts = parts.distinct().withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= need)
-    distinct = stored(firsts.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")), "vectors")
-
-    blocks = stored(_blocked(distinct, BLOCK), "vector-blocks")
-    asked = stored(
-        ints.where("asks").select("id", "v").mapInArrow(_as_bytes, "id bigint, v binary"),
-        "queries",
-    )
-    batches = _blocked(asked.select("v").distinct().withColumn("ids", F.array(F.lit(0).cast("long"))), QUERIES)
-    batches = stored(batches.select("width", F.col("body").alias("queries")), "query-batches")
-
-    def compare(rows):
-        floors: dict = {}
-        for batch in rows:
-            for width, body, ids, queries in zip(*(c.to_pylist() for c in batch.columns)):
-                q = np.frombuffer(queries, np.int64).reshape(-1, width)
-                found = search_block(np.frombuffer(body, np.int64).reshape(-1, width), ids, q, need, floors)
-                n = [len(f) for f in found]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([q[i].tobytes() for i, m in enumerate(n) for _ in range(m)], pa.binary()),
-                        pa.array([h[1] for f in found for h in f], pa.int64()),
-                        pa.array([h[0] for f in found for h in f], pa.int64()),
-                    ],
-                    ["v", "id", "score"],
-                )
-
-    # The stated query set meets every block of the same width; a row here is a pair of blocks.
-    work = blocks.join(batches, "width").repartition(max(1, 2 * spark.sparkContext.defaultParallelism))
-    hits = work.select("width", "body", "ids", "queries").mapInArrow(compare, "v binary, id bigint, score bigint")
+    parts = rows.select("id", "width", "v").mapInArrow(smallest, "width bigint, v binary, id bigint")
+    firsts = parts.distinct().withColumn("n", F.row_number().over(Window.partitionBy("width", "v").orderBy("id"))).where(F.col("n") <= need)
+    distinct = stored(firsts.groupBy("width", "v").agg(F.array_sort(F.collect_list("id")).alias("ids")), "vectors")
+    asked = rows.where("asks").select("id", "width", "v").distinct()
+    queries = stored(asked.groupBy("width", "v").agg(F.count(F.lit(1)).alias("n_rows")), "queries")
+
+    def compare(key, block, batch):
+        if not len(block) or not len(batch):
+            return batch.slice(0, 0).select(["v"]).append_column("id", pa.array([], pa.int64())).append_column("score", pa.array([], pa.int64()))
+        names = batch.column("v").to_pylist()
+        found = search_block(unpacked_vectors(block.column("v").to_pylist()), block.column("ids").to_pylist(), unpacked_vectors(names), need)
+        hits = [(v, i, s) for v, best in zip(names, found) for s, i in best]
+        return pa.table([pa.array(c, t) for c, t in zip(list(zip(*hits)) or [()] * 3, [pa.binary(), pa.int64(), pa.int64()])], names=["v", "id", "score"])
+
+    # Blocks and batches are numbered by hash; a block meets so many batches of its width in one group.
+    n_blocks = F.ceil(F.lit(distinct.count()) * F.col("width") / BLOCK).cast("long")
+    n_groups = F.ceil(F.lit(queries.count()) * F.col("width") / (BATCH * TOGETHER)).cast("long")
+    pick = lambda n: F.pmod(F.xxhash64("v"), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    blocks = distinct.select("width", "v", "ids", pick(n_blocks).alias("b"), every(n_groups).alias("g"))
+    batches = queries.select("width", "v", pick(n_groups).alias("g"), every(n_blocks).alias("b"))
+    met = blocks.groupBy("width", "b", "g").cogroup(batches.groupBy("width", "b", "g"))
+    hits = met.applyInArrow(compare, "v binary, id bigint, score bigint")
     best = Window.partitionBy("v").orderBy(F.desc("score"), "id")
-    top = hits.withColumn("n", F.row_number().over(best)).where(F.col("n") <= need).select("v", "id", "score")
+    top = stored(hits.withColumn("n", F.row_number().over(best)).where(F.col("n") <= need).select("v", "id", "score"), "top")
     # Only the query's own id can drop out of its vector's k + 1 best.
     own = Window.partitionBy("query_id", "v").orderBy(F.desc("score"), "id")
-    answers = asked.withColumnRenamed("id", "query_id").distinct().join(top, "v").where("query_id <> id")
+    facts = top.join(queries.select("v", "n_rows"), "v")
+    answers = spread_join(asked.select(F.col("id").alias("query_id"), "v"), facts, "v", "n_rows").where("query_id <> id")
     ranked = answers.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
-
-
-def _as_bytes(batches):
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(v, np.int64).tobytes() for v in batch.column(1).to_pylist()], pa.binary())], ["id", "v"])
-
-
-def _blocked(rows: DataFrame, size: int) -> DataFrame:
-    """``width, body, ids``: vectors of one width, ``size`` to a row, with their lists of ids."""
-
-    def cut(batches):
-        held: dict[int, tuple[list, list]] = {}
-
-        def row(width):
-            body, ids = held.pop(width)
-            return pa.RecordBatch.from_arrays([pa.array([width], pa.int64()), pa.array([b"".join(body)], pa.binary()), pa.array([ids], pa.list_(pa.list_(pa.int64())))], ["width", "body", "ids"])
-
-        for batch in batches:
-            for v, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                body, kept = held.setdefault(len(v) // 8, ([], []))
-                body.append(v)
-                kept.append(ids)
-                if len(body) == size:
-                    yield row(len(v) // 8)
-        for width in list(held):
-            yield row(width)
-
-    return rows.select("v", "ids").mapInArrow(cut, "width bigint, body binary, ids array<array<bigint>>")

@@ -34,7 +34,7 @@ def test_threshold_walk_is_exact(seed):
 def test_walk_stops_early():
     vectors = np.arange(4000)[:, None] * np.ones(3, int)
     lists = SortedLists(vectors)
-    places, _ = lists.search(np.array([1, 2, 3]), 4, None)
+    places, _ = lists.search(np.array([1, 2, 3]), 4)
     assert len(places) < 100
 
 
@@ -59,3 +59,49 @@ def test_odd_rows(spark):
     assert got.columns == ["query_id", "rank", "vec_id", "score"]
     assert sorted(tuple(r) for r in got.collect()) == brute(vs[:-1], lambda i: i % 50 == 0)
     assert top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_the_bound_ends_walks_where_few_components_matter():
+    """Sparse queries on vectors with a steep spectrum: the threshold falls below the kth score early."""
+    rng = np.random.default_rng(3)
+    vectors = np.floor(256 * rng.normal(0, 1, (4096, 16)) * 0.5 ** np.arange(16)).astype(int)
+    lists = SortedLists(vectors)
+    shares = []
+    for _ in range(20):
+        q = vectors[rng.integers(0, 4096)]
+        places, scores = lists.search(q, 6)
+        shares.append(len(places) / 4096)
+        assert sorted(scores)[-6:] == sorted(vectors @ q)[-6:]
+    assert np.median(shares) < 0.9
+
+
+def test_walks_without_a_bound_see_everything():
+    rng = np.random.default_rng(4)
+    vectors = rng.integers(-100, 100, (500, 64))
+    places, _ = SortedLists(vectors).search(vectors[0], 6)
+    assert sorted(places) == list(range(500))
+
+
+def test_without_broadcast_and_with_many_partitions(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(i), [float(x) for x in rng.normal(0, 1, 4 + i % 2)]) for i in range(600)]
+    rows += [(i, rows[0][1]) for i in range(600, 900)] + [(900, rows[1][1])] * 3 + [(900, rows[2][1])]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.shuffle.partitions", "31")
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(17)
+        got = sorted(tuple(r) for r in top_k(df, F.col("vec_id") % 100 == 0).where("query_id <> 900").collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = brute([(i, list(np.float32(v))) for i, v in dict(rows).items() if i != 900] + [(900, list(np.float32(rows[1][1]))), (900, list(np.float32(rows[2][1])))], lambda i: i % 100 == 0 and i != 900)
+    assert got == want
+
+
+def test_packed_vectors():
+    from llm.topk import packed_vector, unpacked_vectors
+
+    vs = [np.array([1, -5, 300]), np.array([2**40, 0, -7])]
+    assert unpacked_vectors([packed_vector(v) for v in vs]).tolist() == [v.tolist() for v in vs]
+    assert len(packed_vector(vs[0])) == 7
