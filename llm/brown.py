@@ -15,7 +15,9 @@ the probabilities of all known words and of the unknown word sum to one.
 Texts are coded once into blocks: word codes and the block's own dictionary.
 Dictionaries, not tokens, meet in the one shuffle by word, which brings a word
 its count over all documents and its class; a word has at most one row a block
-there, however frequent it is.
+there, of bounded size, however frequent it is.  Counts and gains are whole
+numbers, so that sums, and with them the model, do not depend on how the input
+is split.
 """
 
 from __future__ import annotations
@@ -24,13 +26,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import shuffle_width, stored
 
 #: Tokens of a block, after which it ends with the document.
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 2_000_000
+#: Occurrences of a word in a block whose neighbours travel as they are; of more, the sums of their gains travel.
+NEAR = 64
+#: Gains are whole multiples of this part of one.
+UNIT = 2**20
+#: Classes are bytes, and three of them are the end, the other words and the unseen.
+MOST_CLASSES = 253
 #: The token that ends a text; no word holds white space.
 END = b"\n"
 
@@ -46,8 +55,8 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8").lower().split() + [END]
 
 
-def coded_blocks(docs: DataFrame, held: Column, id_col: str, text_col: str) -> DataFrame:
-    """``block, ids, held, ends, codes, words, train``; a row holds whole documents."""
+def coded_blocks(docs: DataFrame, held: Column, id_col: str, text_col: str, tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """``block, ids, held, ends, codes, words, train``; a row holds whole documents, and ends when it has so many tokens."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def code(batches):
@@ -70,7 +79,7 @@ def coded_blocks(docs: DataFrame, held: Column, id_col: str, text_col: str) -> D
                 pa.array([ends], pa.list_(pa.int64())),
                 pa.array([all_codes.tobytes()], pa.binary()),
                 pa.array([list(table)], pa.list_(pa.binary())),
-                pa.array([train.tolist()], pa.list_(pa.int64())),
+                pa.ListArray.from_arrays(pa.array([0, len(train)], pa.int32()), pa.array(train, pa.int64())),
             ]
             table, ids, out, ends, codes, total, serial = _Codes(), [], [], [], [], 0, serial + 1
             return pa.RecordBatch.from_arrays(arrays, names)
@@ -84,7 +93,7 @@ def coded_blocks(docs: DataFrame, held: Column, id_col: str, text_col: str) -> D
                 ids.append(doc)
                 out.append(bool(apart))
                 ends.append(total)
-                if total >= BLOCK_TOKENS:
+                if total >= tokens:
                     yield block()
         if ids:
             yield block()
@@ -163,25 +172,53 @@ def likelihood(pairs: np.ndarray, cls: np.ndarray, classes: int) -> float:
 class Frequent:
     """The frequent words, their classes, and what one exchange step gains per neighbour."""
 
-    words: dict[bytes, int]
+    words: list[bytes]
     cls: np.ndarray
     classes: int
-    #: gain[a, b, c]: of a word between classes a and b, for class c.
+    #: gain[a, b, c]: of a word between classes a and b, for class c, in units.
     gain: np.ndarray
 
 
 def frequent_words(blocks: DataFrame, most: int) -> list[bytes]:
-    """At most ``most`` words with the greatest training counts over all blocks."""
-    each = blocks.select(F.explode(F.arrays_zip("words", "train")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.train").alias("n"))
-    kept = each.where((F.col("n") > 0) & (F.col("word") != F.lit(END)))
-    top = kept.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
-    return [bytes(r.word) for r in top.collect()]
+    """The ``most`` words with the greatest training counts over all blocks, ties to the smaller word; the end is none.
 
+    In three steps, so that rare words don't travel.  The greatest counts of
+    each block, added up, give a count that ``most`` words reach.  A word that
+    reaches it too has, in one block at least, its share of a block.  Words
+    that do are counted over all blocks.
+    """
+
+    def some(pick):
+        def rows(batches):
+            for batch in batches:
+                for words, train in zip(batch.column(0), batch.column(1)):
+                    n = train.values.to_numpy()
+                    at = pick(n)
+                    yield pa.RecordBatch.from_arrays([words.values.take(pa.array(at)), pa.array(n[at])], ["word", "n"])
+
+        return blocks.select("words", "train").mapInArrow(rows, "word binary, n bigint").where((F.col("n") > 0) & (F.col("word") != F.lit(END)))
+
+    def top(rows):
+        return rows.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most).collect()
+
+    first = top(some(lambda n: np.argpartition(-n, most)[: most + 1] if len(n) > most + 1 else np.arange(len(n))))
+    if not first:
+        return []
+    reached = first[-1].n if len(first) == most else 0
+    share = max(1, -(-reached // blocks.count()))
+    wanted = some(lambda n: np.flatnonzero(n >= share)).select("word").distinct()
+    each = blocks.select(F.explode(F.arrays_zip("words", "train")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.train").alias("n")).where("n > 0")
+    return [bytes(r.word) for r in top(each.join(wanted, "word", "left_semi"))]
 
-def _block_arrays(row) -> tuple:
-    ids, held, ends = row["ids"], np.array(row["held"], bool), np.array(row["ends"], np.int64)
-    codes = np.frombuffer(row["codes"], np.int32)
-    return ids, held, ends, codes
+
+def _rows(batch: pa.RecordBatch):
+    """Of each block: held, ends, codes as arrays, and the row's other columns by name."""
+    at = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+    for i in range(len(batch)):
+        held = at["held"][i].values.to_numpy(zero_copy_only=False).astype(bool)
+        ends = at["ends"][i].values.to_numpy()
+        codes = np.frombuffer(at["codes"][i].as_buffer(), np.int32)
+        yield held, ends, codes, {name: column[i] for name, column in at.items()}
 
 
 def _neighbours(kind_of_code: np.ndarray, codes: np.ndarray, ends: np.ndarray, end_kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -197,31 +234,29 @@ def _neighbours(kind_of_code: np.ndarray, codes: np.ndarray, ends: np.ndarray, e
     return now, before, after
 
 
-def _kinds(words: list[bytes], known: dict[bytes, int], kind: np.ndarray, end: int, other: int) -> np.ndarray:
-    found = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
-    out = np.where(found >= 0, kind[np.maximum(found, 0)] if len(kind) else other, other)
-    out[np.fromiter((w == END for w in words), bool, len(words))] = end
-    return out
+def _kinds(words: pa.Array, known: list[bytes], kind: np.ndarray, end: int, other: int) -> np.ndarray:
+    """``kind`` of each word that is known, ``end`` of the end, ``other`` of all others."""
+    found = pc.fill_null(pc.index_in(words, value_set=pa.array([*known, END], pa.binary())), -1).to_numpy()
+    return np.append(kind, [end, other]).astype(np.int32)[found]
 
 
 def cluster(blocks: DataFrame, classes: int, most: int, sweeps: int) -> Frequent:
     """Exchange clustering of the frequent words; at most (most + 2)**2 pairs reach the driver."""
     spark = blocks.sparkSession
-    words = {w: i for i, w in enumerate(frequent_words(blocks, most))}
+    words = frequent_words(blocks, most)
     n = len(words)
     shared = spark.sparkContext.broadcast(words)
 
     def count(batches):
         known, own = shared.value, np.arange(n)
         for batch in batches:
-            for row in batch.to_pylist():
-                _, held, ends, codes = _block_arrays(row)
-                now, before, _ = _neighbours(_kinds(row["words"], known, own, n, n + 1), codes, ends, n)
+            for held, ends, codes, row in _rows(batch):
+                now, before, _ = _neighbours(_kinds(row["words"].values, known, own, n, n + 1), codes, ends, n)
                 learn = np.repeat(~held, np.diff(ends, prepend=0))
-                pair, times = np.unique(before[learn] * (n + 2) + now[learn], return_counts=True)
+                pair, times = np.unique(before[learn].astype(np.int64) * (n + 2) + now[learn], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(times, pa.int64())], ["pair", "n"])
 
-    rows = blocks.select("ids", "held", "ends", "codes", "words").mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    rows = blocks.select("held", "ends", "codes", "words").mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
     pairs = np.zeros((n + 2, n + 2))
     for batch in rows.toArrow().to_batches():
         at = batch.column(0).to_numpy()
@@ -234,136 +269,171 @@ def cluster(blocks: DataFrame, classes: int, most: int, sweeps: int) -> Frequent
     left, right = np.log(joint.sum(axis=1)), np.log(joint.sum(axis=0))
     # First order of the exchange gain, exact as the word's counts become small beside the classes'.
     gain = log[:, None, :classes] + log.T[None, :, :classes] - left[:classes] - right[:classes]
-    return Frequent(words, cls, classes, gain.astype(np.float32))
+    return Frequent(words, cls, classes, np.rint(gain * UNIT).astype(np.int64))
+
+
+def _summed(gain: np.ndarray, sides: np.ndarray, owner: np.ndarray, into: np.ndarray) -> None:
+    """Add to ``into[owner]`` the gains of the class pairs ``sides``; owners ascend."""
+    for s in range(0, len(sides), 100_000):
+        part, who = sides[s : s + 100_000], owner[s : s + 100_000]
+        cut = np.flatnonzero(np.diff(who, prepend=-1))
+        into[who[cut]] += np.add.reduceat(gain[part[:, 0], part[:, 1]], cut, axis=0)
 
 
 def word_rows(blocks: DataFrame, frequent) -> DataFrame:
-    """``word, block, code, n, near``: near has two bytes an occurrence, the classes on either side."""
+    """``word, block, code, n, near, gains``: a row for each word of a block.
+
+    ``near`` has two bytes an occurrence, the classes on either side, for words
+    whose class is sought and that occur at most NEAR times in the block; where
+    they occur more often, ``gains`` has their sums by class.
+    """
 
     def rows(batches):
         f = frequent.value
         for batch in batches:
-            for row in batch.to_pylist():
-                _, held, ends, codes = _block_arrays(row)
-                names, train = row["words"], np.array(row["train"], np.int64)
-                kinds = _kinds(names, f.words, f.cls, f.classes, f.classes + 1)
+            for held, ends, codes, row in _rows(batch):
+                words = row["words"].values
+                kinds = _kinds(words, f.words, f.cls, f.classes, f.classes + 1)
                 now, before, after = _neighbours(kinds, codes, ends, f.classes)
-                wanted = np.repeat(~held, np.diff(ends, prepend=0)) & (now == f.classes + 1)
-                at = codes[wanted]
-                order = np.argsort(at, kind="stable")
-                both = np.stack([before[wanted][order], after[wanted][order]], axis=1).astype(np.uint8).tobytes()
-                stops = 2 * np.cumsum(np.bincount(at, minlength=len(names)))
-                starts = [0, *stops[:-1].tolist()]
-                near = [both[a:b] for a, b in zip(starts, stops.tolist())]
-                for s in range(0, len(names), 20_000):
-                    e = min(len(names), s + 20_000)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(names[s:e], pa.binary()), pa.array(np.full(e - s, row["block"]), pa.int64()), pa.array(np.arange(s, e), pa.int32()), pa.array(train[s:e], pa.int64()), pa.array(near[s:e], pa.binary())],
-                        ["word", "block", "code", "n", "near"],
-                    )
-
-    return blocks.mapInArrow(rows, "word binary, block bigint, code int, n bigint, near binary")
+                at = np.flatnonzero(np.repeat(~held, np.diff(ends, prepend=0)) & (now == f.classes + 1))
+                at = at[np.argsort(codes[at], kind="stable")]
+                both = np.stack([before[at], after[at]], axis=1).astype(np.uint8)
+                times = np.bincount(codes[at], minlength=len(words))
+                often = np.flatnonzero(times > NEAR)
+                gains = pa.nulls(len(words), pa.binary())
+                if len(often):
+                    sums, much = np.zeros((len(words), f.classes), np.int64), (times > NEAR)[codes[at]]
+                    _summed(f.gain, both[much], codes[at][much], sums)
+                    mask = pa.array(times > NEAR)
+                    gains = pc.replace_with_mask(gains, mask, pa.array([sums[i].tobytes() for i in often.tolist()], pa.binary()))
+                    both, times = both[~much], np.where(times > NEAR, 0, times)
+                offsets = np.concatenate([[0], 2 * np.cumsum(times)]).astype(np.int32)
+                near = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(both.tobytes())])
+                block, code = pa.array(np.full(len(words), row["block"].as_py())), pa.array(np.arange(len(words), dtype=np.int32))
+                whole = pa.RecordBatch.from_arrays([words, block, code, row["train"].values, near, gains], ["word", "block", "code", "n", "near", "gains"])
+                for s in range(0, len(words), 20_000):
+                    yield whole.slice(s, 20_000)
+
+    return blocks.mapInArrow(rows, "word binary, block bigint, code int, n bigint, near binary, gains binary")
+
+
+FACTS = np.dtype([("code", "<i4"), ("n", "<i8"), ("cls", "u1")])
+#: Facts that a task holds before it hands them on.
+HELD_FACTS = 2_000_000
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and all bytes of a binary column."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return np.diff(offsets), np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data else np.zeros(0, np.uint8)
 
 
 def word_facts(rows: DataFrame, frequent) -> DataFrame:
     """``block, facts, fresh``: packed (code, count, class) of a block's words; ``fresh`` words counted here.
 
-    Rows come sorted by word.  Words without a training occurrence get the class after all others.
+    Rows come sorted by word, and are taken up a few at a time: of a word that
+    spans them, its sums so far are held and where it occurs.  Words without a
+    training occurrence get the class after all others.
     """
-    facts = np.dtype([("code", "<i4"), ("n", "<i8"), ("cls", "u1")])
 
     def gather(batches):
         f = frequent.value
-        own_classes = dict(zip(f.words, f.cls.tolist()))
-        done: dict[int, list[bytes]] = {}
-        fresh = 0
-
-        def settle(table: pa.Table):
-            nonlocal fresh
-            words = table.column(0).to_pylist()
-            starts = np.array([i for i, w in enumerate(words) if not i or w != words[i - 1]], np.int64)
-            sizes = np.diff(np.append(starts, len(words)))
-            n = np.add.reduceat(table.column(3).to_numpy(), starts)
-            near = table.column(4).to_pylist()
-            lengths = np.fromiter(map(len, near), np.int64, len(near)) // 2
-            sides = np.frombuffer(b"".join(near), np.uint8).reshape(-1, 2)
-            of_word = np.repeat(np.repeat(np.arange(len(starts)), sizes), lengths)
-            score = np.zeros((len(starts), f.classes), np.float32)
-            for s in range(0, len(sides), 200_000):
-                part, owner = sides[s : s + 200_000], of_word[s : s + 200_000]
-                cut = np.flatnonzero(np.diff(owner, prepend=-1))
-                score[owner[cut]] += np.add.reduceat(f.gain[part[:, 0], part[:, 1]], cut, axis=0)
-            cls = score.argmax(axis=1)
-            for i, at in enumerate(starts.tolist()):
-                w = words[at]
-                if w == END:
-                    cls[i] = f.classes
-                elif n[i] == 0:
-                    cls[i] = f.classes + 1
-                elif w in own_classes:
-                    cls[i] = own_classes[w]
+        own_classes = dict(zip(f.words, f.cls.tolist())) | {END: f.classes}
+        done: list[tuple] = []
+        held = fresh = 0
+
+        def settle(names, n, gains, block, code, group):
+            nonlocal fresh, held
+            own = np.fromiter((own_classes.get(w, -1) for w in names), np.int64, len(names))
+            cls = np.where(own >= 0, own, np.where(n == 0, f.classes + 1, gains.argmax(axis=1)))
             fresh += int((n > 0).sum())
-            out = np.zeros(len(words), facts)
-            out["code"], out["n"], out["cls"] = table.column(2).to_numpy(), np.repeat(n, sizes), np.repeat(cls, sizes)
-            block = table.column(1).to_numpy()
+            out = np.zeros(len(block), FACTS)
+            out["code"], out["n"], out["cls"] = code, n[group], cls[group]
+            done.append((block, out))
+            held += len(block)
+
+        def handed():
+            nonlocal fresh, held
+            block, facts = (np.concatenate(x) for x in zip(*done))
             order = np.argsort(block, kind="stable")
             names, cuts = np.unique(block[order], return_index=True)
-            for b, part in zip(names.tolist(), np.split(out[order], cuts[1:])):
-                done.setdefault(b, []).append(part.tobytes())
-
-        def rows_out():
-            nonlocal fresh
-            batch = pa.RecordBatch.from_arrays([pa.array(list(done), pa.int64()), pa.array([b"".join(p) for p in done.values()], pa.binary()), pa.array([fresh] + [0] * (len(done) - 1), pa.int64())], ["block", "facts", "fresh"])
+            packed = [part.tobytes() for part in np.split(facts[order], cuts[1:])]
+            batch = pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(packed, pa.binary()), pa.array([fresh] + [0] * (len(names) - 1), pa.int64())], ["block", "facts", "fresh"])
             done.clear()
-            fresh = 0
+            fresh = held = 0
             return batch
 
-        waiting: list[pa.RecordBatch] = []
-        held = 0
-        for batch in batches:
-            if not len(batch):
-                continue
-            waiting.append(batch)
-            held += len(batch)
-            if held < 50_000:
-                continue
-            table = pa.Table.from_batches(waiting)
-            words = table.column(0)
-            last, cut = words[len(words) - 1].as_py(), len(words) - 1
-            while cut and words[cut - 1].as_py() == last:
-                cut -= 1
-            if cut:
-                settle(table.slice(0, cut).combine_chunks())
-            waiting = table.slice(cut).combine_chunks().to_batches()
-            held = sum(map(len, waiting)) if cut else 0
-        if waiting:
-            settle(pa.Table.from_batches(waiting).combine_chunks())
+        open_word = None  # name, n, gains, blocks, codes
+        for batch in filter(len, _chunks(batches, 50_000)):
+            words, block, code = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            new = np.concatenate([[True], pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False)])
+            starts, group = np.flatnonzero(new), np.cumsum(new) - 1
+            names = words.take(pa.array(starts)).to_pylist()
+            n, gains = np.add.reduceat(batch.column(3).to_numpy(), starts), np.zeros((len(starts), f.classes), np.int64)
+            sizes, sides = _bytes_of(batch.column(4))
+            _summed(f.gain, sides.reshape(-1, 2), np.repeat(group, sizes // 2), gains)
+            sizes, sums = _bytes_of(batch.column(5))
+            np.add.at(gains, group[sizes > 0], sums.view(np.int64).reshape(-1, f.classes))
+            blocks_before, codes_before = [], []
+            if open_word and open_word[0] == names[0]:
+                n[0] += open_word[1]
+                gains[0] += open_word[2]
+                blocks_before, codes_before = open_word[3], open_word[4]
+            elif open_word:
+                name, count, gain, at, which = open_word
+                at, which = np.concatenate(at), np.concatenate(which)
+                settle([name], np.array([count]), gain[None], at, which, np.zeros(len(at), np.int64))
+            last = starts[-1]
+            if len(starts) > 1:
+                before = sum(map(len, blocks_before))
+                settle(names[:-1], n[:-1], gains[:-1], np.concatenate([*blocks_before, block[:last]]), np.concatenate([*codes_before, code[:last]]), np.concatenate([np.zeros(before, np.int64), group[:last]]))
+                blocks_before, codes_before = [], []
+            open_word = (names[-1], n[-1], gains[-1], [*blocks_before, block[last:].copy()], [*codes_before, code[last:].copy()])
+            if held >= HELD_FACTS:
+                yield handed()
+        if open_word:
+            name, count, gain, at, which = open_word
+            at, which = np.concatenate(at), np.concatenate(which)
+            settle([name], np.array([count]), gain[None], at, which, np.zeros(len(at), np.int64))
         if done:
-            yield rows_out()
+            yield handed()
 
     return rows.mapInArrow(gather, "block bigint, facts binary, fresh bigint")
 
 
+def _chunks(batches, rows: int):
+    """Batches put together until they have so many rows."""
+    waiting, n = [], 0
+    for batch in batches:
+        waiting.append(batch)
+        n += len(batch)
+        if n >= rows:
+            yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+            waiting, n = [], 0
+    if n:
+        yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+
+
 def classed_blocks(blocks: DataFrame, facts: DataFrame, classes: int) -> DataFrame:
     """``ids, held, ends, cls, once, known, base, emit``: class of each token and whether its word was
     seen at most once, and per document the known tokens and sums of log10(count + 1) and log10(count)."""
     kind = blocks.schema["ids"].dataType.simpleString()
-    layout = np.dtype([("code", "<i4"), ("n", "<i8"), ("cls", "u1")])
     by_block = facts.groupBy("block").agg(F.collect_list("facts").alias("facts"))
 
     def join(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                ids, held, ends, codes = _block_arrays(row)
-                told = np.concatenate([np.frombuffer(x, layout) for x in row["facts"]])
+            for i, (_, ends, codes, row) in enumerate(_rows(batch)):
+                told = np.concatenate([np.frombuffer(x, FACTS) for x in row["facts"].as_py()])
                 n, cls = np.zeros(len(told), np.int64), np.zeros(len(told), np.uint8)
                 n[told["code"]], cls[told["code"]] = told["n"], told["cls"]
                 starts = np.concatenate([[0], ends[:-1]])
                 count = n[codes]
                 per_doc = lambda x: np.add.reduceat(x, starts).tolist()
-                arrays = [[ids], [row["held"]], [row["ends"]], [cls[codes].tobytes()], [np.packbits(count <= 1).tobytes()], [per_doc((count > 0).astype(np.int64))], [per_doc(np.log10(count + 1.0))], [per_doc(np.log10(np.maximum(count, 1)))]]
-                kinds = [batch.schema.field("ids").type, pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64())]
-                yield pa.RecordBatch.from_arrays([pa.array(a, k) for a, k in zip(arrays, kinds)], ["ids", "held", "ends", "cls", "once", "known", "base", "emit"])
+                whole = [batch.column(name).slice(i, 1) for name in ("ids", "held", "ends")]
+                arrays = [[cls[codes].tobytes()], [np.packbits(count <= 1).tobytes()], [per_doc((count > 0).astype(np.int64))], [per_doc(np.log10(count + 1.0))], [per_doc(np.log10(np.maximum(count, 1)))]]
+                kinds = [pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64())]
+                yield pa.RecordBatch.from_arrays([*whole, *(pa.array(a, k) for a, k in zip(arrays, kinds))], ["ids", "held", "ends", "cls", "once", "known", "base", "emit"])
 
     rows = blocks.select("block", "ids", "held", "ends", "codes").join(by_block, "block").drop("block")
     return rows.mapInArrow(join, f"ids {kind}, held array<boolean>, ends array<bigint>, cls binary, once binary, known array<bigint>, base array<double>, emit array<double>")
@@ -404,7 +474,7 @@ def fit_model(follows: np.ndarray, follows_once: np.ndarray, tokens: int, types:
 
 
 def score_texts(
-    docs: DataFrame, held: Column, classes: int = 32, frequent: int = 1500, sweeps: int = 12, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, held: Column, classes: int = 32, frequent: int = 1500, sweeps: int = 12, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS
 ) -> DataFrame:
     """One row per row of ``docs``: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 
@@ -414,12 +484,14 @@ def score_texts(
     other columns are not read.  With nothing to learn from, every word is
     unseen; no rows give no rows.
     """
+    if not 1 <= classes <= MOST_CLASSES:
+        raise ValueError(f"classes: 1 to {MOST_CLASSES}")
     spark = docs.sparkSession
-    blocks = stored(coded_blocks(docs, F.coalesce(held, F.lit(False)), id_col, text_col), "blocks")
+    blocks = stored(coded_blocks(docs, F.coalesce(held, F.lit(False)), id_col, text_col, block_tokens), "blocks")
     clustered = cluster(blocks, classes, frequent, sweeps)
     shared = spark.sparkContext.broadcast(clustered)
     width = shuffle_width(spark)
-    rows = word_rows(blocks.select("block", "ids", "held", "ends", "codes", "words", "train"), shared)
+    rows = word_rows(blocks.select("block", "held", "ends", "codes", "words", "train"), shared)
     facts = stored(word_facts(rows.repartition(width, "word").sortWithinPartitions("word"), shared), "facts")
     types = facts.agg(F.sum("fresh")).first()[0] or 0
     classed = stored(classed_blocks(blocks, facts, classes), "classed")

@@ -3,8 +3,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from llm import brown
-from llm.brown import exchange, fit_model, likelihood, score_texts, words_of
+from llm.brown import END, FACTS, UNIT, Frequent, _chunks, exchange, fit_model, likelihood, score_texts, word_facts, words_of
 from pyspark.sql import functions as F
 
 
@@ -57,13 +58,102 @@ def test_against_brute_force_counts_and_better_than_the_base(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_small_blocks_give_the_same_counts(spark, monkeypatch):
+def model_by_hand(rows, held, classes, most):
+    """Scores by the definition, one word at a time; only the exchange itself is the operator's."""
+    texts = {i: words_of(t) for i, t in rows}
+    learn = [w for i, w in texts.items() if not held(i)]
+    count = Counter(w for t in learn for w in t)
+    frequent = sorted((w for w in count if w != END), key=lambda w: (-count[w], w))[:most]
+    n = len(frequent)
+    at = {w: i for i, w in enumerate(frequent)} | {END: n}
+    pairs = np.zeros((n + 2, n + 2))
+    for t in learn:
+        for v, w in zip([END, *t], t):
+            pairs[at.get(v, n + 1), at.get(w, n + 1)] += 1
+    full = [*exchange(pairs, classes).tolist(), classes, classes + 1]
+    joint = np.full((classes + 2, classes + 2), 0.1)
+    for i, a in enumerate(full):
+        for j, b in enumerate(full):
+            joint[a, b] += pairs[i, j]
+    left, right = joint.sum(axis=1), joint.sum(axis=0)
+    kind = lambda w: full[at[w]] if w in at else classes + 1
+    gains = {w: np.zeros(classes) for w in count if w not in at}
+    for t in learn:
+        for v, w, x in zip([END, *t], t, [*t[1:], END]):
+            if w in gains:
+                a, b = kind(v), kind(x)
+                gains[w] += [np.rint(UNIT * (math.log(joint[a, c]) + math.log(joint[c, b]) - math.log(left[c]) - math.log(right[c]))) for c in range(classes)]
+    cls = {w: kind(w) if w in at else int(gains[w].argmax()) for w in count}
+    unseen, k = classes + 1, classes + 2
+    context = lambda v: cls[v] if count[v] > 1 or v == END else unseen
+    follows, singles = np.zeros((k, k)), np.zeros((k, k))
+    for t in learn:
+        for v, w in zip([END, *t], t):
+            follows[context(v), cls[w]] += 1
+            singles[context(v), cls[w]] += count[w] == 1
+    m = fit_model(follows, singles, sum(count.values()), len(count))
+    return {i: sum(m.step[context(v), cls.get(w, unseen)] + math.log10(max(1, count[w])) for v, w in zip([END, *t], t)) for i, t in texts.items()}
+
+
+def test_scores_by_hand_however_the_input_is_split(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
-    monkeypatch.setattr(brown, "BLOCK_TOKENS", 2000)
-    want = base_scores([(r.doc_id, r.text) for r in docs.collect()], is_held)
-    for r in score_texts(docs, held, classes=4, frequent=50).collect():
-        assert abs(r.base_score - want[r.doc_id][3]) < 1e-6 * abs(r.base_score)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = model_by_hand(rows, is_held, 4, 50)
+    for parts, tokens in ((1, 2_000_000), (4, 3000), (41, 500)):
+        got = score_texts(docs.repartition(parts), held, classes=4, frequent=50, block_tokens=tokens).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert abs(r.score - want[r.doc_id]) < 1e-6 * abs(r.score)
+
+
+def test_words_that_crowd_a_block_and_span_batches(spark):
+    """Sums of gains instead of neighbours, and one word in very many blocks, change no score."""
+    import random
+
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(rng.choices(words, range(1, 301), k=400))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = model_by_hand(rows, is_held, 3, 10)
+    for tokens in (2_000_000, 300):
+        for r in score_texts(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, classes=3, frequent=10, block_tokens=tokens).collect():
+            assert abs(r.score - want[r.doc_id]) < 1e-6 * abs(r.score)
+
+
+def test_facts_of_words_that_span_batches():
+    import pyarrow as pa
+
+    class Shared:
+        value = Frequent([b"often"], np.array([1]), 2, np.arange(32).reshape(4, 4, 2).astype(np.int64))
+
+    class Rows:
+        def mapInArrow(self, f, schema):
+            return f
+
+    gather = word_facts(Rows(), Shared)
+    sides = lambda *p: bytes(x for pair in p for x in pair)
+    sums = np.array([0, 100], np.int64).tobytes()
+    rows = [(b"a", 1, 0, 2, sides((0, 1), (1, 0)), None), (b"b", 1, 1, 1, sides((3, 3)), None), (b"b", 2, 0, 70, b"", sums), (b"b", 3, 0, 0, b"", None), (b"often", 2, 1, 5, b"", None), (b"zero", 3, 1, 0, b"", None)]
+    kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+    names = ["word", "block", "code", "n", "near", "gains"]
+
+    def batches(size):
+        for i in range(0, len(rows), size):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + size]), kinds)], names)
+
+    def facts(size, chunk):
+        found, fresh = {}, 0
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(brown, "_chunks", lambda b, n: _chunks(b, chunk))
+            for out in gather(batches(size)):
+                for block, packed, n in zip(*(c.to_pylist() for c in out.columns)):
+                    fresh += n
+                    found |= {(block, int(f["code"])): (int(f["n"]), int(f["cls"])) for f in np.frombuffer(packed, FACTS)}
+        return found, fresh
+
+    want = {(1, 0): (2, 1), (1, 1): (71, 1), (2, 0): (71, 1), (3, 0): (71, 1), (2, 1): (5, 1), (3, 1): (0, 3)}, 3
+    assert all(facts(size, chunk) == want for size in (1, 2, 6) for chunk in (1, 2, 50))
 
 
 def test_odd_rows(spark):
@@ -83,5 +173,17 @@ def test_frequent_words_do_not_depend_on_blocks(spark):
     from pyspark.sql import functions as F
 
     docs = spark.createDataFrame([(i, "often " * 7 + f"rare{i} twice{i // 2}") for i in range(20)], "doc_id long, text string")
-    got = [frequent_words(coded_blocks(docs.repartition(n, "doc_id"), F.lit(False), "doc_id", "text"), 3) for n in (1, 10)]
-    assert got[0] == got[1] == [b"often", b"twice0", b"twice1"]
+    got = [frequent_words(coded_blocks(docs.repartition(n, "doc_id"), F.lit(False), "doc_id", "text", tokens), 3) for n, tokens in ((1, 1000), (10, 1000), (4, 1))]
+    assert got[0] == got[1] == got[2] == [b"often", b"twice0", b"twice1"]
+
+
+def test_frequent_words_are_the_most_frequent(spark):
+    from llm.brown import coded_blocks, frequent_words
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    count = Counter(w for r in docs.collect() for w in words_of(r.text) if w != END)
+    want = sorted(count, key=lambda w: (-count[w], w))
+    for most in (7, 200, 10**6):
+        assert frequent_words(coded_blocks(docs.repartition(11), F.lit(False), "doc_id", "text", 1500), most) == want[:most]
+    with pytest.raises(ValueError):
+        score_texts(docs, F.lit(False), classes=254)
