@@ -1,27 +1,30 @@
 """SimHash near-duplicates by tiled exact comparison.
 
 Fingerprints are computed where the texts are read.  Equal fingerprints are one
-node.  Nodes are sorted by the population counts of their 64-bit fingerprints
-and cut into tiles; every pair of tiles whose population counts lie within the
-radius is compared exactly, by numpy exclusive-or and bit counts.  A task keeps
-only a spanning forest of the links it finds, so a group of thousands of near
-copies costs its number of nodes, not of pairs, and no link is lost.  The
-forests are merged by alternating large-star and small-star steps.
+node.  Nodes are put into groups by the population counts of their 64-bit
+fingerprints, and every pair of groups whose counts lie within the radius is
+compared exactly in one task, tile by tile, by numpy exclusive-or and bit
+counts; tiles whose counts rule each other out are skipped.  A task keeps only
+a spanning forest of the links it finds, so a group of thousands of near copies
+costs its number of nodes, not of pairs, and no link is lost.  The forests are
+merged by alternating large-star and small-star steps.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, spread_join, stored
 
-#: Nodes in a tile; two tiles and their bit counts are what a task holds.
-TILE = 4096
-#: Rows of a tile that are compared, or skipped, together.
-STRIP = 256
+#: Rows of a group that are compared, or skipped, together: a tile.
+TILE = 256
+#: Nodes of a group that is compared with another in one task, and the least number of groups.
+GROUP, GROUPS = 131_072, 8
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -63,7 +66,7 @@ def remixed(h: np.ndarray, turn: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def long_fingerprint(h: np.ndarray, length: int) -> np.ndarray:
+def sketch(h: np.ndarray, length: int) -> np.ndarray:
     """SimHash of ``length`` 64-bit words of distinct hashes; the first is their plain fingerprint."""
     return np.array([majority_bits(remixed(h, i) if i else h) for i in range(length)], np.uint64)
 
@@ -90,7 +93,7 @@ class Forest:
     """Union-find over a task's nodes, fed with whole arrays of links."""
 
     def __init__(self, n: int):
-        self.parent = np.arange(n)
+        self.parent, self.linked = np.arange(n), False
 
     def roots(self, x: np.ndarray) -> np.ndarray:
         r = self.parent[x]
@@ -107,7 +110,7 @@ class Forest:
             apart = a != b
             if not apart.any():
                 return
-            a, b = a[apart], b[apart]
+            a, b, self.linked = a[apart], b[apart], True
             low, high = np.minimum(a, b), np.maximum(a, b)
             np.minimum.at(self.parent, high, low)
             a, b = low, high
@@ -119,25 +122,30 @@ def part_counts(fp: np.ndarray) -> np.ndarray:
 
 
 def links_between(a: np.ndarray, b: np.ndarray, radius: int, same: bool, into: Forest, offset: int, rests: tuple | None = None) -> None:
-    """Link every pair (i, offset + j) at ``radius`` bits or fewer.
+    """Link every pair (i, offset + j) at ``radius`` bits or fewer, unless it is joined already.
 
-    A strip's fingerprints lie in a box of partial population counts; the sum
+    A tile's fingerprints lie in a box of partial population counts; the sum
     of the gaps between two boxes bounds the distance of any pair from below.
     ``rests`` has the longer fingerprints of both sides and how many of all
     bits may differ; pairs within the radius must pass that too.
     """
 
-    def strips(x):
+    def tiles(x):
         c = part_counts(x)
-        return [(s, x[s : s + STRIP], c[s : s + STRIP].min(0), c[s : s + STRIP].max(0), int(c[s : s + STRIP].sum(1).min()), int(c[s : s + STRIP].sum(1).max())) for s in range(0, len(x), STRIP)]
+        return [(s, x[s : s + TILE], c[s : s + TILE].min(0), c[s : s + TILE].max(0), int(c[s : s + TILE].sum(1).min()), int(c[s : s + TILE].sum(1).max())) for s in range(0, len(x), TILE)]
 
-    right = strips(b)
-    for i, x, low, high, least, most in strips(a):
+    right = tiles(b)
+    for i, x, low, high, least, most in tiles(a):
+        here = np.arange(i, i + len(x))
         for j, y, ylow, yhigh, yleast, ymost in right:
             if same and j < i or least - ymost > radius or yleast - most > radius:
                 continue
             if np.maximum(np.maximum(low - yhigh, ylow - high), 0).sum() > radius:
                 continue
+            if into.linked:
+                root = into.roots(np.concatenate([here, np.arange(offset + j, offset + j + len(y))]))
+                if (root == root[0]).all():
+                    continue
             near = np.bitwise_count(x[:, None] ^ y[None, :]) <= radius
             p, q = np.nonzero(near)
             if rests and len(p):
@@ -168,93 +176,81 @@ def forest_rows(a: np.ndarray, b: np.ndarray | None, radius: int, limit: int | N
     return nodes[root[moved]], nodes[moved]
 
 
-def close_links(nodes: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
-    """``a, b``: for distinct fingerprints ``fp``, links that join exactly what radius joins.
+def in_order(rows: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    """Places of the rows by the population counts of their fingerprints, whole and in part."""
+    counts = part_counts(fp)
+    return np.lexsort((counts[:, 2], counts[:, 1], counts[:, 0], counts.sum(axis=1)))
 
-    Tiles are cut at multiples of ``tile`` in the order of population counts.
-    Every pair of tiles is a row of its own, so work spreads evenly however the
-    fingerprints cluster; pairs of tiles that the counts rule out make no row.
-    """
-    spark = nodes.sparkSession
-    placed = nodes.select("fp", population("fp").alias("p"), population("fp", 0).alias("p0"), population("fp", 1).alias("p1"), population("fp", 2).alias("p2"))
-    # A range sort keeps the order across partitions; a tile never spans two of them.
-    ordered = placed.sort("p", "p0", "p1", "p2", "fp")
 
-    def cut(batches):
-        from pyspark import TaskContext
+def population_spans(counts: dict[int, int], size: int) -> list[tuple[int, int, int]]:
+    """(least, most, parts): neighbouring population counts put together until they hold ``size`` nodes; parts of a size each."""
+    spans: list[list[int]] = []
+    for p in sorted(counts):
+        if not spans or spans[-1][2] >= size:
+            spans.append([p, p, 0])
+        spans[-1][1] = p
+        spans[-1][2] += counts[p]
+    return [(least, most, -(-n // size)) for least, most, n in spans]
 
-        part, serial, rest = TaskContext.get().partitionId(), 0, np.zeros(0, np.uint64)
 
-        def row(x):
-            nonlocal serial
-            pop = np.bitwise_count(x)
-            serial += 1
-            return [part * 2**32 + serial, int(pop.min()), int(pop.max()), x.tobytes()]
+def close_links(nodes: DataFrame, radius: int = 4, size: int | None = None) -> DataFrame:
+    """``a, b``: for distinct fingerprints ``fp``, links that join exactly what radius joins.
 
-        def batch_of(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["tile", "least", "most", "body"])
+    A group holds about ``size`` nodes (131,072 at most) of neighbouring
+    population counts; nodes of one count beyond that are dealt by hash.  The
+    groups that a node meets follow from the 65 counts alone.  A node travels
+    once for each group that it meets, and each pair of groups is a task.
+    """
+    counts = {r.p: r["count"] for r in nodes.groupBy(population("fp").alias("p")).count().collect()}
+    size = size or max(1, min(GROUP, -(-sum(counts.values()) // GROUPS)))
+    spans = population_spans(counts, size)
+    first = np.cumsum([0] + [parts for *_, parts in spans]).tolist()
+    of = [next((i for i, (least, most, _) in enumerate(spans) if least <= p <= most), 0) for p in range(65)]
+    near = [[j for j, (least, most, _) in enumerate(spans) if least - spans[i][1] <= radius and spans[i][0] - most <= radius] for i in range(len(spans))] or [[0]]
+    told = lambda values: F.get(F.array(*map(F.lit, values)), F.get(F.array(*map(F.lit, of)), population("fp")))
+    parts = [p for *_, p in spans] or [1]
+    own = told(first[: len(parts)]) + F.pmod(F.xxhash64("fp"), told(parts))
+    reach = F.sequence(told([first[n[0]] for n in near]), told([first[n[-1]] + parts[n[-1]] - 1 for n in near]))
+    met = nodes.select("fp", own.cast("int").alias("g"), F.explode(reach.cast("array<int>")).alias("h"))
+    g, h = F.col("g"), F.col("h")
+    work = met.select(F.least(g, h).alias("i"), F.greatest(g, h).alias("j"), (g > h).alias("right"), "fp")
 
-        for batch in batches:
-            rest = np.concatenate([rest, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)])
-            while len(rest) >= tile:
-                yield batch_of([row(rest[:tile])])
-                rest = rest[tile:]
-        if len(rest):
-            yield batch_of([row(rest)])
-
-    tiles = stored(ordered.select("fp").mapInArrow(cut, "tile bigint, least bigint, most bigint, body binary"), "tiles")
-    x, y = tiles.alias("x"), tiles.select("tile", "least", "most").alias("y")
-    # Which pairs to compare follows from the tiles' ranges of counts; only ids travel here.
-    bits = F.explode(F.sequence(F.col("least"), F.col("most"))).alias("bit")
-    reach = F.explode(F.sequence(F.greatest(F.col("least") - radius, F.lit(0).cast("long")), F.least(F.col("most") + radius, F.lit(64).cast("long")))).alias("bit")
-    pairs = (
-        x.select(F.col("tile").alias("i"), reach)
-        .join(y.select(F.col("tile").alias("j"), bits), "bit")
-        .where("i <= j")
-        .select("i", "j")
-        .distinct()
-    )
-    bodies = tiles.select("tile", "body")
-    work = (
-        pairs.join(bodies.select(F.col("tile").alias("i"), F.col("body").alias("a")), "i")
-        .join(bodies.select(F.col("tile").alias("j"), F.col("body").alias("b")), "j")
-        .repartition(max(1, 4 * spark.sparkContext.defaultParallelism))
-        .select("i", "j", "a", "b")
-    )
-
-    def compare(batches):
-        for batch in batches:
-            for i, j, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-                low, high = forest_rows(np.frombuffer(a, np.uint64), None if i == j else np.frombuffer(b, np.uint64), radius)
-                yield pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), pa.array(high.view(np.int64))], ["a", "b"])
+    def compare(key, table):
+        fp = table.column("fp").to_numpy().view(np.uint64)
+        order = in_order(fp, fp)
+        fp, right = fp[order], table.column("right").to_numpy()[order]
+        low, high = forest_rows(fp[~right], None if key[0].as_py() == key[1].as_py() else fp[right], radius)
+        return pa.table({"a": low.view(np.int64), "b": high.view(np.int64)})
 
-    return work.mapInArrow(compare, "a bigint, b bigint")
+    return work.groupBy("i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
     """``node, root``: the smallest node that links lead to, for every node with a link.
 
     Large-star then small-star until nothing changes.  Each round halves the
-    depth of the trees; a round is two minima by key and a write to the shared
-    folder, and no neighbour list is ever gathered.
+    depth of the trees; a round is two minima by key, each met by the rows of
+    its key where they lie if they are many, and tables in the shared folder,
+    of which the last one stays.  No neighbour list is ever gathered.
     """
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n_rows"))
         # Large star: every larger neighbour of u moves under u's minimum.
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = stored(spread_join(both, least, "u", "n_rows").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large-star")
         # Small star: u and its smaller neighbours move under the smallest of them.
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        edges = stored(
-            large.join(small, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct(),
-            "stars",
-        )
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == before:
+        small = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n_rows"))
+        moved = spread_join(large, small, "u", "n_rows").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        seen = Observation()
+        stars = stored(moved.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("digest")), "stars")
+        discard(large)
+        discard(edges)
+        edges, state = stars, (seen.get["n"], seen.get["digest"])
+        if state == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = tuple(state)
+        before = state
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,81 +264,96 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: st
     the two that are named are not read.
     """
     marked = stored(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    nodes = stored(marked.groupBy("fp").agg(F.min("id").alias("least_id")), "nodes")
+    nodes = stored(marked.groupBy("fp").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("n_rows")), "nodes")
     roots = components(close_links(nodes.select("fp"), radius))
-    placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    smallest = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = placed.join(smallest, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least_id", "n_rows", F.coalesce("root", "fp").alias("root"))
+    smallest = placed.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    classes = stored(spread_join(placed, smallest, "root", "members").select("fp", "n_rows", "component_id"), "classes")
+    return spread_join(marked, classes, "fp", "n_rows").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: 64-bit words of the long fingerprint.
-LONG = 8
 #: Shingle sets up to this size are compared at wider bounds.
 SHORT = 32
+#: Nodes that share a band on average, pairs at the similarity that no band may catch, and the least words of a sketch.
+BUCKET, MISSED, LEAST_WORDS = 1024, 0.002, 4
+#: Nodes of a bucket that are compared with each other in one task.
+CROWDED = 8192
 #: Nodes, and bytes of shingles, of a block of candidates that is verified in one task.
 BLOCK, BLOCK_BYTES = 2048, 64 * 2**20
 
 
-def sketch_bounds(similarity: float, short: bool) -> tuple[int, int]:
-    """Bits that may differ in a sketch's first word and in all of it, for a pair to be verified.
+def differing_share(similarity: float, short: bool) -> float:
+    """Bits of SimHashes that differ in the mean at a Jaccard similarity, at most.
 
     Sets of Jaccard similarity J have a cosine of 2J / (1 + J) or more, so that
-    arccos(cosine) / pi of the bits differ in the mean; ties add to it, by at
-    most 3% from 32 shingles on and by 25% below (counted for J = 0.8).
-    Bounds lie 3.5 (short: 4) and 5 standard deviations above that mean.
+    arccos(cosine) / pi of the bits differ; ties add to it, by at most 3% from
+    32 shingles on and by 25% below (counted for J = 0.8).
     """
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi * (1.25 if short else 1.03)
-    bound = lambda bits, by: int(min(bits, bits * share + by * np.sqrt(bits * share * (1 - share))))
-    return bound(64, 4 if short else 3.5), bound(64 * LONG, 5)
-
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi * (1.25 if short else 1.03)
 
-#: Nodes of a group that is compared with another in one task, and the least number of groups.
-GROUP, GROUPS = 131_072, 8
 
+class Bands:
+    """How sketches are cut into bands: candidates agree in all bits of one band at least.
 
-def similar_links(nodes: DataFrame, radius: int, limit: int) -> DataFrame:
-    """``a, b``: links of ``node, fp, sketch`` where both bounds hold, as spanning forests.
+    A band has so many bits that ``BUCKET`` of ``n`` nodes share its value on
+    average, and there are so many bands that a pair at the similarity agrees in
+    none with a chance of ``MISSED``.  Both follow from the number of nodes by
+    one rule at every size; a sketch is as long as its bands need.
+    """
 
-    Nodes are put into groups by the population counts of their fingerprints,
-    and each pair of groups whose counts lie within the radius is compared in
-    one task, tile by tile.  A node travels once for each group, not for each
-    tile, that it meets.
+    def __init__(self, n: int, similarity: float):
+        self.similarity = similarity
+        self.bits = max(4, min(32, math.ceil(math.log2(max(2, n / BUCKET)))))
+        self.a_word = 64 // self.bits
+        self.numbers = {short: math.ceil(math.log(MISSED) / math.log(1 - (1 - differing_share(similarity, short)) ** self.bits)) for short in (False, True)}
+        self.words = max(LEAST_WORDS, -(-max(self.numbers.values()) // self.a_word))
+
+    def bounds(self, short: bool) -> tuple[int, int]:
+        """Bits that may differ in a sketch's first word and in all of it: 3.5 (short: 4) and 5 deviations over the mean."""
+        share = differing_share(self.similarity, short)
+        bound = lambda bits, by: int(min(bits, bits * share + by * math.sqrt(bits * share * (1 - share))))
+        return bound(64, 4 if short else 3.5), bound(64 * self.words, 5)
+
+    def keys(self, sketch: Column, short: bool) -> Column:
+        """One number for each band of an array of words."""
+        mask = F.lit((1 << self.bits) - 1).cast("long")
+        return F.array(*[
+            F.shiftrightunsigned(F.get(sketch, F.lit(k // self.a_word)), k % self.a_word * self.bits).bitwiseAND(mask) + F.lit(k << self.bits).cast("long")
+            for k in range(self.numbers[short])
+        ])
+
+
+def sketch_rows(table: pa.Table, words: int) -> np.ndarray:
+    """node and the sketch's words, one row a node."""
+    rows = np.empty((len(table), words + 1), np.uint64)
+    rows[:, 0] = table.column("node").to_numpy().view(np.uint64)
+    rows[:, 1:] = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(table), words)
+    return rows
+
+
+def candidate_links(nodes: DataFrame, bands: Bands, short: bool) -> DataFrame:
+    """``a, b``: links of ``node, sketch`` that agree in a band and differ within the bounds, as spanning forests.
+
+    A bucket, the nodes of one band's value, is compared tile by tile in one
+    task; a crowded one is dealt into parts, and each pair of parts is a task.
     """
-    spark = nodes.sparkSession
-    cell = ["p", "p0", "p1"]
-    placed = nodes.select("node", "fp", "sketch", population("fp").alias("p"), population("fp", 0).alias("p0"), population("fp", 1).alias("p1"))
-    # At most 65 * 17 * 17 cells reach the driver.
-    cells = sorted(map(tuple, placed.groupBy(*cell).count().collect()))
-    size = max(1, min(GROUP, -(-sum(c[3] for c in cells) // GROUPS)))
-    seen, told, spans = 0, [], []
-    for p, p0, p1, n in cells:
-        if not spans or seen >= size:
-            spans.append([p, p])
-            seen = 0
-        spans[-1][1] = p
-        told.append((p, p0, p1, len(spans) - 1))
-        seen += n
-    groups = F.broadcast(spark.createDataFrame(told, "p int, p0 int, p1 int, g int"))
-    least, most = (F.array(*[F.lit(s[i]) for s in spans]) if spans else F.array(F.lit(0)) for i in (0, 1))
+    radius, limit = bands.bounds(short)
+    keyed = nodes.select("node", "sketch", F.explode(bands.keys(F.col("sketch"), short)).alias("key"))
+    crowded = stored(keyed.groupBy("key").count().where(F.col("count") > CROWDED).select("key", F.ceil(F.col("count") / CROWDED).cast("int").alias("parts")), "crowded-bands")
+    # AQE splits the crowded keys' rows; their list has at most a row for each 8192 rows.
+    placed = keyed.join(crowded, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     g, h = F.col("g"), F.col("h")
-    near = (F.get(least, h) - F.get(most, g) <= radius) & (F.get(least, g) - F.get(most, h) <= radius)
-    met = placed.join(groups, cell).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(max(0, len(spans) - 1))))).where(near)
-    work = met.select(F.least(g, h).alias("i"), F.greatest(g, h).alias("j"), (g > h).alias("right"), "node", "fp", "sketch")
+    met = placed.withColumn("g", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("h", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    work = met.select("key", F.least(g, h).alias("i"), F.greatest(g, h).alias("j"), (g > h).alias("right"), "node", "sketch")
 
     def compare(key, table):
-        rows = np.empty((len(table), LONG + 1), np.uint64)
-        rows[:, 0] = table.column("node").to_numpy().view(np.uint64)
-        rows[:, 1:] = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(table), LONG)
-        right = table.column("right").to_numpy()
-        counts = part_counts(rows[:, 1].copy())
-        order = np.lexsort((counts[:, 1], counts[:, 0], counts.sum(axis=1)))
+        rows, right = sketch_rows(table, bands.words), table.column("right").to_numpy()
+        order = in_order(rows, rows[:, 1].copy())
         rows, right = rows[order], right[order]
-        same = key[0].as_py() == key[1].as_py()
-        low, high = forest_rows(rows[~right], None if same else rows[right], radius, limit)
+        low, high = forest_rows(rows[~right], None if key[1].as_py() == key[2].as_py() else rows[right], radius, limit)
         return pa.table({"a": low.view(np.int64), "b": high.view(np.int64)})
 
-    return work.groupBy("i", "j").applyInArrow(compare, "a bigint, b bigint")
+    return work.groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -351,14 +362,14 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def verified_pairs(sets: list[np.ndarray], sketches: np.ndarray, right: np.ndarray | None, similarity: float) -> list[tuple[int, int]]:
-    """Links that join what pairs of ``similarity`` or more join, within all sets or between left and ``right``.
+def verified_pairs(sets: list[np.ndarray], sketches: np.ndarray, right: np.ndarray | None, bands: Bands) -> list[tuple[int, int]]:
+    """Links that join what pairs of the similarity or more join, within all sets or between left and ``right``.
 
     Pairs beyond the sketch bounds are not looked at, nor are pairs that links
     found so far have joined.
     """
-    n = np.array([len(x) for x in sets], np.int64)
-    widest, limits = SHORT / similarity, [sketch_bounds(similarity, short)[1] for short in (False, True)]
+    n, similarity = np.array([len(x) for x in sets], np.int64), bands.similarity
+    widest, limits = SHORT / similarity, [bands.bounds(short)[1] for short in (False, True)]
     group, found = np.arange(len(sets)), []
     left = None if right is None else np.flatnonzero(~right)
     for x in range(len(sets)) if right is None else np.flatnonzero(right).tolist():
@@ -377,8 +388,8 @@ def verified_pairs(sets: list[np.ndarray], sketches: np.ndarray, right: np.ndarr
     return found
 
 
-def verified_links(candidates: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """``a, b``: links between nodes of ``node, least_id, n, sketch`` whose shingle sets are ``similarity`` alike.
+def verified_links(candidates: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, bands: Bands) -> DataFrame:
+    """``a, b``: links between nodes of ``node, least_id, n, sketch`` whose shingle sets are alike.
 
     ``candidates`` joins all that may be; only texts of its components are read
     again, one a node.  A large component is cut into blocks, and each pair of
@@ -396,69 +407,89 @@ def verified_links(candidates: DataFrame, nodes: DataFrame, texts: DataFrame, wo
     wanted = asked.select(F.col("least_id").alias("wanted")).distinct()
     read = texts.join(wanted, F.col("id").eqNullSafe(F.col("wanted")), "left_semi").select("id", "text").mapInArrow(compute, "node bigint, shingles binary")
     parts = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int")
-    sizes = asked.groupBy("root").agg(parts.alias("parts"))
-    blocks = asked.select("node", "root", "sketch").join(sizes, "root").withColumn("g", F.pmod(F.xxhash64("node"), F.col("parts")))
+    sizes = asked.groupBy("root").agg(parts.alias("parts"), F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
+    blocks = spread_join(asked.select("node", "root", "sketch"), sizes, "root", "n_rows").withColumn("g", F.pmod(F.xxhash64("node"), F.col("parts")))
     each = blocks.join(read.groupBy("node").agg(F.first("shingles").alias("shingles")), "node")
     g, h = F.col("g"), F.col("h")
     met = each.withColumn("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)))
     work = met.select("root", F.least(g, h).alias("i"), F.greatest(g, h).alias("j"), (g > h).alias("right"), "node", "sketch", "shingles")
 
     def verify(key, table):
-        node = table.column("node").to_numpy()
+        rows = sketch_rows(table, bands.words)
         sets = [np.frombuffer(b, np.uint64) for b in table.column("shingles").to_pylist()]
-        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(node), LONG)
         right = None if key[1].as_py() == key[2].as_py() else table.column("right").to_numpy()
-        pairs = np.array(verified_pairs(sets, sketches, right, similarity), np.int64).reshape(-1, 2)
+        pairs = np.array(verified_pairs(sets, rows[:, 1:], right, bands), np.int64).reshape(-1, 2)
+        node = table.column("node").to_numpy()
         return pa.table({"a": pa.array(node[pairs[:, 0]], pa.int64()), "b": pa.array(node[pairs[:, 1]], pa.int64())})
 
     return work.groupBy("root", "i", "j").applyInArrow(verify, "a bigint, b bigint")
 
 
 def set_digest(h: np.ndarray) -> int:
-    """64 bits, as a long, of a sorted set of hashes."""
+    """64 bits, as a long, of a sorted set of hashes; among n sets two are mistaken for one with a chance of n**2 / 2**65."""
     import xxhash
 
     return int(np.array([xxhash.xxh64_intdigest(h.tobytes(), 42)], np.uint64).view(np.int64)[0])
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``<id>, component_id``: groups of texts whose shingle sets are ``similarity`` alike (Jaccard) or more.
+    """``<id>, component_id, node, survivor``: groups of texts whose shingle sets are ``similarity`` alike (Jaccard) or more.
 
-    Equal sets are one node.  SimHashes of 512 bits choose candidates, at bounds
-    that pairs of that similarity seldom pass (``sketch_bounds``); candidates
+    Equal sets are one node.  SimHashes choose candidates, which agree in a
+    band of their bits and differ little in all of them (``Bands``); candidates
     are verified by the exact Jaccard similarity of their sets.  Rows without a
-    word are alike.  Nulls, ties and repeats as in ``near_duplicates``.
+    word are alike.  Nulls, ties and repeats as in ``near_duplicates``; the
+    survivor is the node of the row that stands for the group, the one with the
+    smallest id and, of rows of that id, the smallest node.
     """
+    bands = Bands(docs.count(), similarity)
 
     def compute(batches):
         for batch in batches:
             sets = [np.unique(shingle_hashes(t, words)) for t in batch.column(1).to_pylist()]
-            found = [long_fingerprint(h, LONG) for h in sets]
-            fp = np.array([f[0] for f in found], np.uint64).view(np.int64)
-            arrays = [pa.array(map(set_digest, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(fp), pa.array([f.tobytes() for f in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["id", "node", "n", "fp", "sketch"])
+            flat = np.concatenate([np.zeros(0, np.uint64), *(sketch(h, bands.words) for h in sets)]).view(np.int64)
+            sketches = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bands.words, pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(set_digest, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), sketches], ["id", "node", "n", "sketch"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    marked = stored(texts.mapInArrow(compute, f"id {kind}, node bigint, n bigint, fp bigint, sketch binary"), "sketches")
-    nodes = stored(marked.groupBy("node").agg(F.min("id").alias("least_id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "sketch-nodes")
+    marked = stored(texts.mapInArrow(compute, f"id {kind}, node bigint, n bigint, sketch array<bigint>"), "sketches")
+    nodes = stored(marked.groupBy("node").agg(F.min("id").alias("least_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("n_rows")), "sketch-nodes")
     # Sets of a pair differ in size by the similarity at most, so every pair lies in one of the two ranges whole.
     short, long = nodes.where(F.col("n") <= SHORT / similarity), nodes.where(F.col("n") >= SHORT)
-    candidates = similar_links(short, *sketch_bounds(similarity, True)).union(similar_links(long, *sketch_bounds(similarity, False)))
-    roots = components(verified_links(candidates, nodes, texts, words, similarity))
-    placed = nodes.join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
-    smallest = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = placed.join(smallest, "root").select("node", "component_id")
-    return marked.join(classes, "node").select(F.col("id").alias(id_col), "component_id")
+    candidates = candidate_links(short, bands, True).union(candidate_links(long, bands, False))
+    roots = components(verified_links(candidates, nodes, texts, words, bands))
+    placed = nodes.join(roots, "node", "left").select("node", "least_id", "n_rows", F.coalesce("root", "node").alias("root"))
+    smallest = placed.groupBy("root").agg(F.min("least_id").alias("component_id"), F.min_by("node", F.struct(F.col("least_id").isNull(), "least_id", "node")).alias("survivor"), F.count(F.lit(1)).alias("members"))
+    classes = stored(spread_join(placed, smallest, "root", "members").select("node", "n_rows", "component_id", "survivor"), "classes")
+    return spread_join(marked.select("id", "node"), classes, "node", "n_rows").select(F.col("id").alias(id_col), "component_id", "node", "survivor")
 
 
-def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is their group's smallest, all columns kept.
+def one_of_each(docs: DataFrame, groups: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row of ``docs`` that stands for its group in ``groups`` (of ``similar_groups``), all columns kept.
 
-    ``groups`` has the id and ``component_id`` of every row.  Rows with an id
-    that repeats are copies of one document; one of them stays.
+    Rows of an id that repeats, or of none, are told apart by their texts: rows
+    with different texts stand for groups of their own, and of rows with the
+    same id and text one stays.
     """
-    keep = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__keep")).distinct()
-    kept = docs.join(keep, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
-    repeated = not groups.groupBy(id_col).count().where("count > 1").isEmpty()
-    return kept.dropDuplicates([id_col]) if repeated else kept
+    told = stored(groups.select(F.col(id_col).alias("id"), "component_id", "node", "survivor"), "groups")
+    stands = told.where(F.col("id").eqNullSafe(F.col("component_id")) & (F.col("node") == F.col("survivor")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    vague = stored(told.groupBy("id").agg(F.countDistinct("node").alias("nodes"), F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "nodes"), "vague-ids")
+    if vague.isEmpty():
+        wanted = stands.select(F.col("id").alias("wanted")).distinct()
+        return rows.join(wanted, F.col("id").eqNullSafe(F.col("wanted")), "left_semi").select("row.*")
+    key = vague.select(F.col("id").alias("vague"))
+    clear = stands.join(key, F.col("id").eqNullSafe(F.col("vague")), "left_anti").select(F.col("id").alias("wanted"))
+    one = rows.join(clear, F.col("id").eqNullSafe(F.col("wanted")), "left_semi").select("row")
+
+    def digests(batches):
+        for batch in batches:
+            found = [set_digest(np.unique(shingle_hashes(t, words))) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], ["row", "id", "node"])
+
+    named = rows.join(key, F.col("id").eqNullSafe(F.col("vague")), "left_semi").select("row", "id", "text")
+    marked = named.mapInArrow(digests, f"row {rows.schema['row'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, node bigint")
+    wanted = stands.select(F.col("id").alias("wanted"), F.col("node").alias("wanted_node")).distinct()
+    met = marked.join(wanted, F.col("id").eqNullSafe(F.col("wanted")) & (F.col("node") == F.col("wanted_node")), "left_semi")
+    return one.unionByName(met.dropDuplicates(["id", "node"]).select("row")).select("row.*")

@@ -71,11 +71,11 @@ def test_odd_rows(spark):
     df = spark.createDataFrame(rows, schema)
     got = sorted((r.doc_id, r.component_id) for r in near_duplicates(df).collect())
     assert got == [(2, 2), (2, 2), (3, 3), (4, 2), (5, 3), (7, 7), (9, 3)]
-    kept = one_of_each(df, near_duplicates(df))
+    kept = one_of_each(df, similar_groups(df))
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 7]
     empty = spark.createDataFrame([], schema)
-    assert near_duplicates(empty).count() == 0 and similar_groups(empty).count() == 0 and one_of_each(empty, near_duplicates(empty)).count() == 0
-    same = sorted((r.doc_id, r.component_id) for r in similar_groups(df).collect())
+    assert near_duplicates(empty).count() == 0 and similar_groups(empty).count() == 0 and one_of_each(empty, similar_groups(empty)).count() == 0
+    same = sorted((r.doc_id, r.component_id) for r in similar_groups(df).select("doc_id", "component_id").collect())
     assert same == [(2, 2), (2, 2), (3, 3), (4, 2), (5, 3), (7, 7), (9, 3)]
 
 
@@ -131,3 +131,57 @@ def test_blocks_are_verified_whole(spark, monkeypatch):
     texts = [" ".join([*words, f"end{i}"]) for i in range(20)]
     got = similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.component_id) for r in got) == [(i, 0) for i in range(20)]
+
+
+def test_population_spans():
+    from llm.simhash import population_spans
+
+    assert population_spans({30: 5, 31: 5, 32: 50, 33: 1}, 10) == [(30, 31, 1), (32, 32, 5), (33, 33, 1)]
+    assert population_spans({}, 10) == []
+
+
+@pytest.mark.parametrize("size", [7, 40, 1000])
+def test_groups_find_every_link(spark, size):
+    from llm.simhash import close_links, components
+
+    rng = np.random.default_rng(size)
+    base = rng.integers(0, 2**63, 150, dtype=np.uint64)
+    flips = [np.uint64(1) << rng.integers(0, 64, 150).astype(np.uint64) for _ in range(4)]
+    x = np.unique(np.concatenate([base, base ^ flips[0] ^ flips[1], base[:60] ^ flips[0][:60] ^ flips[1][:60] ^ flips[2][:60] ^ flips[3][:60], [np.uint64(0)]])).view(np.int64)
+    nodes = spark.createDataFrame([(int(v),) for v in x], "fp long")
+    got = {r.node: r.root for r in components(close_links(nodes, 4, size)).collect()}
+    want = brute([int(v) for v in x.view(np.uint64)], [int(v) for v in x])
+    assert {int(v): got.get(int(v), int(v)) for v in x} == want
+
+
+def test_crowded_keys_join_where_they_lie(spark, monkeypatch):
+    from llm import common
+    from llm.simhash import components
+
+    monkeypatch.setattr(common, "CROWD", 5)
+    links = spark.createDataFrame([(0, i) for i in range(1, 40)] + [(i, i + 100) for i in range(1, 40)] + [(500, 501)], "a long, b long")
+    got = {r.node: r.root for r in components(links).collect()}
+    assert got == {i: 0 for i in [*range(1, 40), *range(101, 140)]} | {501: 500}
+    docs = spark.createDataFrame([(i, "same words in all of these") for i in range(30)] + [(99, "others")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in near_duplicates(docs).collect()) == [(i, 0) for i in range(30)] + [(99, 99)]
+
+
+def test_bands_catch_what_they_should():
+    from llm.simhash import Bands, differing_share
+
+    for n in (100, 10**6, 10**10):
+        bands = Bands(n, 0.8)
+        for short in (False, True):
+            hit = (1 - differing_share(0.8, short)) ** bands.bits
+            assert (1 - hit) ** bands.numbers[short] <= 0.002 and -(-bands.numbers[short] // bands.a_word) <= bands.words
+    assert Bands(100, 0.8).bits == 4 and Bands(10**6, 0.8).bits == 10
+
+
+def test_rows_that_share_an_id_are_told_apart_by_text(spark):
+    schema = "row string, doc_id long, text string, wanted int, node string, survivor int"
+    rows = [("a", 1, "one two three four five six", 0, "", 0), ("b", 1, "quite other words than the first row has", 0, "", 0), ("c", None, "some third text that has no id", 0, "", 0), ("d", None, "a fourth one, without id as well", 0, "", 0)]
+    rows += [("e", 2, "one two three four five six", 0, "", 0), ("f", None, "some third text that has no id", 0, "", 0), ("g", 3, "alone among all the rows here", 0, "", 0), ("a", 1, "one two three four five six", 0, "", 0)]
+    df = spark.createDataFrame(rows, schema)
+    kept = one_of_each(df, similar_groups(df))
+    got = sorted(r.row for r in kept.collect())
+    assert kept.columns == df.columns and [x for x in got if x not in "cf"] == ["a", "b", "d", "g"] and len(got) == 5
