@@ -1,11 +1,12 @@
 """Language identification with a bidirectional gated recurrent network over bytes.
 
 The network reads the UTF-8 bytes of a word (a run of letters, in lower case)
-forwards and backwards and labels every byte position with a distribution over
-languages; a document's probabilities are the mean over all its positions.
-State starts anew at each word, so a word's labels are the same wherever it
-stands: a worker runs the network once for each distinct word it meets and
-weights the result by the word's frequency in the document.  Training is
+with a space on either side, forwards and backwards, and labels every byte with
+a distribution over languages; a document's probabilities are the mean over all
+bytes of its words.  State starts anew at each word, so a word's labels are the
+same wherever it stands: a worker process runs the network once for each
+distinct word it holds and weights the result by the word's frequency in the
+document.  Words of more than 24 bytes are read in stretches, in training too.  Training is
 backpropagation through time in numpy, on the driver, over a bounded sample.
 """
 
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import stratified
+from .tokens import kept
 from .words import letter_words
 
 #: Bytes the network reads at a stretch; longer words are read in stretches.
@@ -29,6 +31,12 @@ MEMO_WORDS = 500_000
 UNKNOWN = "und"
 
 
+def stretches(word: bytes) -> list[bytes]:
+    """The word between spaces, cut where it is longer than the network reads at once."""
+    whole = b" " + word + b" "
+    return [whole[s : s + STRETCH] for s in range(0, len(whole), STRETCH)]
+
+
 def _sigmoid(x):
     return 0.5 + 0.5 * np.tanh(0.5 * x)
 
@@ -132,20 +140,20 @@ class Network:
         second = self.back.backward(x[:, ::-1], keep[1], (d @ self.out_back.T)[::-1])
         return float(loss), first + second + head
 
-    def fit(self, words: list[bytes], labels: np.ndarray, steps: int = 900, size: int = 256, rate: float = 0.02, seed: int = 1) -> None:
-        """Adam over batches of words of one length, lengths drawn by their share of bytes."""
+    def fit(self, words: list[bytes], labels: np.ndarray, weights: np.ndarray, steps: int = 900, size: int = 256, rate: float = 0.02, seed: int = 1) -> None:
+        """Adam over batches of words of one length, drawn by weight; lengths are drawn by their share of weighted bytes."""
         rng = np.random.default_rng(seed)
         by_length: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             by_length.setdefault(len(w), []).append(i)
         lengths = sorted(by_length)
-        groups = {n: (np.frombuffer(b"".join(words[i] for i in by_length[n]), np.uint8).reshape(-1, n), labels[by_length[n]]) for n in lengths}
-        share = np.array([n * len(by_length[n]) for n in lengths], float)
+        groups = {n: (np.frombuffer(b"".join(words[i] for i in by_length[n]), np.uint8).reshape(-1, n), labels[by_length[n]], np.cumsum(weights[by_length[n]])) for n in lengths}
+        share = np.array([n * groups[n][2][-1] for n in lengths], float)
         share /= share.sum()
         first, second = [np.zeros_like(w) for w in self.weights()], [np.zeros_like(w) for w in self.weights()]
         for step in range(1, steps + 1):
-            x, y = groups[lengths[rng.choice(len(lengths), p=share)]]
-            at = rng.integers(0, len(y), size)
+            x, y, upto = groups[lengths[rng.choice(len(lengths), p=share)]]
+            at = np.minimum(np.searchsorted(upto, rng.random(size) * upto[-1], "right"), len(y) - 1)
             _, grads = self.gradients(x[at], y[at])
             norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
             now = rate * min(1.0, 2 * (1 - step / (steps + 1)))
@@ -156,9 +164,9 @@ class Network:
                 w -= now * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
 
     def sums(self, words: list[bytes]) -> np.ndarray:
-        """For each word the sum over its bytes of the label distributions."""
+        """For each word the sum over its bytes, not the spaces around it, of the label distributions."""
         total = np.zeros((len(words), len(self.langs)))
-        pieces = [(i, w[s : s + STRETCH]) for i, w in enumerate(words) for s in range(0, len(w), STRETCH)]
+        pieces = [(i, piece) for i, w in enumerate(words) for piece in stretches(w)]
         pieces.sort(key=lambda p: len(p[1]))
         at = 0
         while at < len(pieces):
@@ -167,40 +175,43 @@ class Network:
             while end < len(pieces) and end - at < 4096 and len(pieces[end][1]) == n:
                 end += 1
             x = np.frombuffer(b"".join(p for _, p in pieces[at:end]), np.uint8).reshape(-1, n)
-            np.add.at(total, [i for i, _ in pieces[at:end]], self.positions(x)[0].sum(axis=0))
+            letters = (x != 32).T[:, :, None]  # no word holds a space
+            np.add.at(total, [i for i, _ in pieces[at:end]], (self.positions(x)[0] * letters).sum(axis=0))
             at = end
         return total
 
 
-def train(labelled: DataFrame, per_language: int = 300, words_per_language: int = 30_000, hidden: int = 12, steps: int = 600, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
+def train(labelled: DataFrame, per_language: int = 300, hidden: int = 12, steps: int = 600, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
     """Learns from about ``per_language`` rows of each language, chosen by hash.
 
-    The bound on the sample, and ``words_per_language`` on its words, keep the
-    driver's work the same at every size.  Rows without text or language teach
-    nothing; without any such row there is no network.
+    That bound on the sample keeps the driver's work the same at every size;
+    every language of the rows is learned.  A kind of word is drawn by the
+    square root of its count.  Rows without text or language teach nothing;
+    without any such row there is no network.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
     seen: dict[str, Counter] = {}
     for r in stratified(rows, "lang", per_language, "id").orderBy("id", "text", "lang").toLocalIterator():
-        seen.setdefault(r.lang, Counter()).update(w.encode()[:STRETCH] for w in letter_words(r.text))
+        seen.setdefault(r.lang, Counter()).update(piece for w in letter_words(r.text) for piece in stretches(w.encode()))
     seen = {k: v for k, v in seen.items() if v}
     if not seen:
         return None
     langs = sorted(seen)
-    rng, words, labels = np.random.default_rng(7), [], []
+    words, labels, weights = [], [], []
     for k, lang in enumerate(langs):
         kinds = sorted(seen[lang])
         n = np.sqrt(np.array([seen[lang][w] for w in kinds], float))
-        words += [kinds[i] for i in rng.choice(len(kinds), min(words_per_language, 4 * len(kinds)), p=n / n.sum())]
-        labels += [k] * (len(words) - len(labels))
+        words += kinds
+        labels += [k] * len(kinds)
+        weights.append(n / n.sum())
     network = Network.fresh(langs, hidden)
     if len(langs) > 1:
-        network.fit(words, np.array(labels), steps)
+        network.fit(words, np.array(labels), np.concatenate(weights), steps)
     return network.as_type(np.float32)
 
 
 class Labeller:
-    """Document probabilities; each distinct word goes through the network once."""
+    """Document probabilities; each distinct word goes through the network once while the table holds it."""
 
     def __init__(self, network: Network):
         self.network = network
@@ -254,7 +265,7 @@ def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", t
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
     def label(batches):
-        labeller = Labeller(shared.value) if shared.value else None
+        labeller = kept(Labeller, shared.value) if shared.value else None
         for batch in batches:
             texts = batch.column(1).to_pylist()
             found = labeller(texts) if labeller else [(UNKNOWN, 0.0)] * len(texts)
@@ -265,15 +276,24 @@ def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", t
     return rows.mapInArrow(label, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
-def in_known_language(docs: DataFrame, network: Network | None, least: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns kept, whose text has letters and whose language holds ``least`` of the positions."""
+def in_known_language(docs: DataFrame, network: Network | None, surplus: float = 0.05, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns kept, whose text has letters and speaks for a language.
+
+    That is, one language holds ``surplus`` of the positions more than all
+    would if they were spread evenly; the whole, if there is but one.  Without
+    a network every text with a letter stays.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(network)
+    least = 1 / len(network.langs) + surplus * (1 - 1 / len(network.langs)) if network else 0.0
 
     def choose(batches):
-        labeller = Labeller(shared.value) if shared.value else None
+        labeller = kept(Labeller, shared.value) if shared.value else None
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            found = labeller(texts) if labeller else [(UNKNOWN, 0.0)] * len(texts)
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+            if labeller:
+                stay = [lang != UNKNOWN and score >= least - 1e-6 for lang, score in labeller(texts)]
+            else:
+                stay = [bool(t) and any(map(str.isalpha, t)) for t in texts]
+            yield batch.filter(pa.array(stay, pa.bool_()))
 
     return docs.mapInArrow(choose, docs.schema)

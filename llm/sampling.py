@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Values of a stratum that can be learned; the most frequent ones come first.
-MOST_VALUES = 256
+from .common import spread_join, stored
+
 _SCALE = 2**31
 
 
 def stratified(rows: DataFrame, stratum: str, per_value: int, key: str) -> DataFrame:
-    """About ``per_value`` rows of each value of ``stratum`` (all, where there are fewer).
+    """About ``per_value`` rows of each value of ``stratum`` (all, where there are fewer); null is no value.
 
     Two passes: counts by value, then a filter by the key's hash.  Nothing is
-    sorted or shuffled by the stratum, however unevenly its values occur.
+    sorted or gathered by the stratum, however unevenly its values occur, and
+    there may be any number of them.
     """
-    counts = rows.where(F.col(stratum).isNotNull()).groupBy(stratum).count().orderBy(F.desc("count"), stratum).limit(MOST_VALUES).collect()
-    if not counts:
-        return rows.where(F.lit(False))
-    share = F.create_map(*[x for r in counts for x in (F.lit(r[stratum]), F.lit(int(_SCALE * min(1.0, per_value / r["count"]))))])
+    known = rows.where(F.col(stratum).isNotNull())
+    counts = stored(known.groupBy(stratum).agg(F.count(F.lit(1)).alias("__n")), "strata")
+    shares = counts.withColumn("__share", F.floor(F.lit(float(_SCALE)) * F.least(F.lit(1.0), F.lit(float(per_value)) / F.col("__n"))))
     draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(_SCALE))
-    return rows.where(draw < share[F.col(stratum)])
+    return spread_join(known.withColumn("__draw", draw), shares, stratum, "__n").where("__draw < __share").select(*rows.columns)

@@ -52,6 +52,32 @@ def test_odd_rows(spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 1, 2]
     none = train(df.limit(0))
     assert none is None and {r.lang_pred for r in identify(df, none).collect()} == {"und"}
+    assert sorted(r.doc_id for r in in_known_language(df, none).collect()) == [1, 1, 2]
     assert identify(df.limit(0), net).count() == 0
     one = train(df.where("doc_id = 1"), steps=5)
     assert identify(df, one).first().lang_pred == "en"
+
+
+def test_document_probabilities_by_running_every_word():
+    import re
+
+    net = Network.fresh(["a", "b", "c"], 5, 2)
+    labeller = Labeller(net)
+    texts = ["The cat, the CAT and the dog's über-cat", "é " * 7 + "x" * 61, "1 2 three"]
+    for text, (lang, score) in zip(texts, labeller(texts)):
+        total, n = np.zeros(3), 0
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            whole = b" " + word.encode() + b" "
+            for s in range(0, len(whole), 24):
+                piece = whole[s : s + 24]
+                p = net.positions(np.frombuffer(piece, np.uint8).reshape(1, -1))[0][:, 0]
+                for byte, probabilities in zip(piece, p):
+                    if byte != 32:
+                        total, n = total + probabilities, n + 1
+        assert lang == net.langs[total.argmax()] and abs(score - total.max() / n) < 1e-5
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"word{chr(97 + i % 26)} {chr(97 + i // 26)}x", f"l{i}") for i in range(300)]
+    net = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), steps=2)
+    assert len(net.langs) == 300
