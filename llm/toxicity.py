@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 from .sampling import stratified
+from .tokens import kept
 from .words import letter_words
 
 #: Lengths of the beginnings of words that count as features.
@@ -65,7 +66,6 @@ class PuModel:
         return 0.5 + 0.5 * np.tanh(0.5 * (self.scale * np.asarray(g) + self.shift))
 
 
-
 def _entries(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     rows = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
     return rows, np.concatenate([np.zeros(0, np.int64), *docs]).astype(np.int64)
@@ -147,33 +147,37 @@ def feature_counts(sample: DataFrame) -> DataFrame:
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, positives: int = 2000, others: int = 6000, least_z: float = 4.0, most_features: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"
+    docs: DataFrame, labels: DataFrame, positives: int = 2000, others: int = 6000, least_z: float = 4.0, most_features: int | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"
 ) -> PuModel:
     """Learns from the texts of ``docs`` and the ``labels`` (id, 0 or 1) of some of them.
 
-    About ``positives`` rows of each label and ``others`` unlabelled texts are
-    drawn by hash; the clean labels serve the calibration only.  Ids are drawn
-    first and their texts are read where they lie.  Features are counted there
-    too; at most ``most_features`` of them, and the sample as feature numbers,
-    reach the driver.  The prior is the label's share among all labels.  Null
-    texts count as empty; null labels are no labels.  Without a confirmed
+    About ``positives`` ids of each label and ``others`` of all are drawn by
+    hash, which bounds the sample; the clean labels serve the calibration only.
+    Ids are drawn first and their texts are read where they lie.  Features are
+    counted there too; those that set the confirmed examples apart by
+    ``least_z`` deviations, and the sample as feature numbers, reach the driver
+    (``most_features`` bounds them further, where it is given).  The prior is
+    the label's share among all labels, which stand for the unlabelled mass.
+    An id teaches once, by its least text; labelled both ways it is toxic.
+    Null texts count as empty; null labels are no labels.  Without a confirmed
     example every text scores alike and low.
     """
-    told = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").cast("string").alias("part")).where("part in ('0', '1')")
+    told = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").cast("string").alias("part")).where("part in ('0', '1')").groupBy("id").agg(F.max("part").alias("part"))
     counts = {r.part: r["count"] for r in told.groupBy("part").count().collect()}
     prior = min(0.9, max(1e-4, counts.get("1", 0) / max(1, sum(counts.values()))))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    drawn = F.broadcast(stratified(told, "part", positives, "id"))  # about 2 * positives ids
+    drawn = F.broadcast(stratified(told, "part", positives, "id"))  # about 2 * positives ids, each once
     rest = stratified(texts.withColumn("part", F.lit("u")), "part", others, "id")
-    sample = stored(texts.join(drawn, "id").select("id", "text", "part").union(rest), "toxic-sample")
+    both = texts.join(drawn, "id").select("id", "text", "part").union(rest)
+    sample = stored(both.groupBy("id", "part").agg(F.min("text").alias("text")).select("id", "text", "part"), "toxic-sample")
     sizes = {r.part: r["count"] for r in sample.groupBy("part").count().collect()}
     n_p, n_u = sizes.get("1", 0), sizes.get("u", 0)
     if not n_p or not n_u:
         return PuModel({}, np.zeros(0), -1.0)
     pooled = (F.col("in_p") + F.col("in_u") + 1) / F.lit(float(n_p + n_u + 2))
     z = (F.col("in_p") / F.lit(float(n_p)) - F.col("in_u") / F.lit(float(n_u))) / F.sqrt(pooled * (1 - pooled) * F.lit(1 / n_p + 1 / n_u))
-    chosen = feature_counts(sample).withColumn("z", z).where(F.col("z") >= least_z).orderBy(F.desc("z"), "feature").limit(most_features).collect()
-    names = {r.feature: i for i, r in enumerate(chosen)}
+    chosen = feature_counts(sample).withColumn("z", z).where(F.col("z") >= least_z).orderBy(F.desc("z"), "feature")
+    names = {r.feature: i for i, r in enumerate((chosen.limit(most_features) if most_features else chosen).collect())}
     shared = sample.sparkSession.sparkContext.broadcast(names)
 
     def number(batches):
@@ -191,7 +195,7 @@ def train(
 
 
 class Scorer:
-    """Probabilities of whole texts; each distinct word is looked up once a worker."""
+    """Probabilities of whole texts; each distinct word is looked up once while the table holds it."""
 
     def __init__(self, model: PuModel):
         self.model = model
@@ -216,7 +220,7 @@ def score(docs: DataFrame, model: PuModel, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def rate(batches):
-        scorer = Scorer(shared.value)
+        scorer = kept(Scorer, shared.value)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([scorer(t) for t in batch.column(1).to_pylist()], pa.float64())], ["id", "score"])
 
@@ -230,7 +234,7 @@ def without_toxic(docs: DataFrame, model: PuModel, threshold: float = 0.7, text_
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def choose(batches):
-        scorer = Scorer(shared.value)
+        scorer = kept(Scorer, shared.value)
         for batch in batches:
             yield batch.filter(pa.array([scorer(t) < threshold for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()], pa.bool_()))
 

@@ -53,3 +53,25 @@ def test_odd_rows(spark):
     nothing = train(df.limit(0), df.limit(0))
     assert all(r.score < 0.5 for r in score(df, nothing).collect()) and score(df.limit(0), model).count() == 0
     assert document_features(None) == set()
+
+
+def test_scores_by_hand(spark):
+    rows = [(i, f"calm text number {i} about rivers", 0) for i in range(40)] + [(100 + i, f"vile scumbags {i} are here", 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = train(df, df)
+    assert model.names
+    texts = {1: "Scumbags!", 2: "rivers", 3: "", 4: "vile rivers vile", 5: None}
+    asked = spark.createDataFrame([(k, v) for k, v in texts.items()], "doc_id long, text string")
+    for r in score(asked, model).collect():
+        words = {"".join(c for c in w if c.isalpha()) for w in (texts[r.doc_id] or "").lower().split()} - {""}
+        features = {f for w in words for f in ["=" + w, *(w[:n] for n in (4, 5, 6) if len(w) >= n)]}
+        g = model.bias + sum(model.weights[model.names[f]] for f in features if f in model.names)
+        assert abs(r.score - 1 / (1 + np.exp(-(model.scale * g + model.shift)))) < 1e-12
+
+
+def test_a_repeated_id_teaches_once(spark):
+    rows = [(i, f"calm text {i}", 0) for i in range(40)] + [(100, "vile scumbags", 1)] * 500 + [(101, "vile scum", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    once = df.dropDuplicates()
+    a, b = train(df, df), train(once, once)
+    assert a.names == b.names and np.allclose(a.weights, b.weights)
