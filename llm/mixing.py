@@ -167,27 +167,37 @@ def with_source(rows: DataFrame, small: DataFrame, n_sources: int) -> DataFrame:
     return salted.join(copies, ["name", "__salt"]).drop("__salt")
 
 
-def mixed(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` as the mix takes them, all columns kept, with ``__pass`` and ``__block`` beside them.
-
-    A row comes once for each pass that takes it.  Tokens are words and one
-    end, so empty and null texts count one.  Rows without a source are one
-    source.  Rows with one id, or none, stand and fall together in a pass.  No
-    rows give no rows.
+def placed(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """``row, pass, block, place, weight``: the rows of ``docs``, as a struct, as the mix takes them.
+
+    A row comes once for each pass that takes it.  ``place`` sorts the rows of
+    a source within a pass, its blocks in the pass's own order; ``weight`` is
+    the source's.  Tokens are words and one end, so empty and null texts count
+    one.  Rows without a source are one source.  Rows with one id, or none,
+    stand and fall together in a pass.  No rows give no rows.  Columns of
+    ``docs`` may have any names.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    named = docs.select(F.struct(*columns).alias("__row"), _named(source_col).alias("name"), document_key(id_col, mix).alias("key"))
+    named = docs.select(F.struct(*columns).alias("row"), _named(source_col).alias("name"), document_key(id_col, mix).alias("key"))
     sized = stored(docs.select(_named(source_col).alias("name"), document_key(id_col, mix).alias("key"), word_tokens(text_col).alias("tokens")), "sized")
     plan, n = source_plan(sized, mix)
-    told = with_source(named, plan.drop("weight"), n)
+    told = with_source(named, plan, n)
     more = (place("name", "key", "passes", mix) <= F.col("stop")).cast("int")
-    times = told.withColumn("__times", F.col("passes") + more).where("__times > 0")
-    each = times.select("__row", "key", F.explode(F.sequence(F.lit(0), F.col("__times") - 1)).alias("__pass"))
-    return each.select("__row.*", "__pass", F.substring("key", 1, 3).alias("__block"))
+    times = told.withColumn("times", F.col("passes") + more).where("times > 0")
+    each = times.select("row", "name", "key", "weight", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("pass"))
+    return each.select("row", "pass", F.substring("key", 1, 3).alias("block"), place("name", "key", "pass", mix).alias("place"), "weight")
+
+
+def mixed(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` as the mix takes them (see ``placed``), with their own columns."""
+    return placed(docs, mix, id_col, source_col, text_col).select("row.*")
 
 
 def mixture(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """``<id>, <source>, pass, block`` for every row and pass of the mix."""
+    """``<id>, <source>, pass, block, place, weight`` for every row and pass of the mix; the weight to six decimals.
+
+    In the order of pass and place, a source's rows are its block permutations.
+    """
     narrow = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-    rows = mixed(narrow, mix, "id", "source", "text")
-    return rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), F.col("__pass").alias("pass"), F.col("__block").alias("block"))
+    rows = placed(narrow, mix, "id", "source", "text")
+    return rows.select(F.col("row.id").alias(id_col), F.col("row.source").alias(source_col), "pass", "block", "place", F.round("weight", 6).alias("weight"))

@@ -116,17 +116,18 @@ ORACLES = {
         ), t AS (
             SELECT CASE WHEN max(pow(p, t - 1)) / sum(pow(p, t)) <= 4 THEN max(t) WHEN max(1) > 4 THEN 1 ELSE (SELECT high FROM by_repeats WHERE step = 32) END AS t FROM s, first_t
         ), q AS (
-            SELECT name, tokens, CAST(floor(pow(p, t) / (sum(pow(p, t)) OVER ()) * total + 1e-6) AS BIGINT) AS quota FROM s, t
+            SELECT name, tokens, pow(p, t) / (sum(pow(p, t)) OVER ()) AS weight, CAST(floor(pow(p, t) / (sum(pow(p, t)) OVER ()) * total + 1e-6) AS BIGINT) AS quota FROM s, t
         ), w AS (
-            SELECT name, CAST(quota // tokens AS INTEGER) AS passes, quota % tokens AS rest FROM q
+            SELECT name, weight, CAST(quota // tokens AS INTEGER) AS passes, quota % tokens AS rest FROM q
         ), placed AS (
-            SELECT d.*, w.passes, w.rest, md5('mix|' || w.passes || '|' || d.name || '|' || substr(d.key, 1, 3)) || d.key AS place FROM d JOIN w USING (name)
+            SELECT d.*, w.weight, w.passes, w.rest, md5('mix|' || w.passes || '|' || d.name || '|' || substr(d.key, 1, 3)) || d.key AS place FROM d JOIN w USING (name)
         ), upto AS (
             SELECT *, sum(tokens) OVER (PARTITION BY name ORDER BY place RANGE UNBOUNDED PRECEDING) AS upto FROM placed
         ), times AS (
-            SELECT doc_id, source, key, passes + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS n FROM upto
+            SELECT doc_id, source, name, key, weight, passes + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS n FROM upto
         )
-        SELECT doc_id, source, CAST(g.e AS INTEGER) AS pass, substr(key, 1, 3) AS block FROM times, (SELECT unnest(range(0, 5)) AS e) g WHERE g.e < times.n
+        SELECT doc_id, source, CAST(g.e AS INTEGER) AS pass, substr(key, 1, 3) AS block,
+            md5('mix|' || g.e || '|' || name || '|' || substr(key, 1, 3)) || key AS place, round(weight, 6) AS weight FROM times, (SELECT unnest(range(0, 5)) AS e) g WHERE g.e < times.n
     """,
     "op3_threshold_topk": """
         WITH v AS (

@@ -87,9 +87,14 @@ def test_odd_rows(spark):
     assert [r.n for r in df.select(word_tokens("text").alias("n")).collect()] == [1, 1, 3, 60_001, 2, 2]
     mix = Mix(entropy=1.0, repeats=3.0, budget=None)
     want, _ = brute([(r[0], r[1], r[2]) for r in rows], mix)
-    got = mixed(df, mix)
-    assert got.columns == df.columns + ["__pass", "__block"]
-    assert Counter((r.doc_id, r.source, r["__pass"]) for r in got.collect()) == want
+    clashing = df.selectExpr("*", "1 as pass", "2 as row", "3 as __pass", "4 as weight", "5 as place")
+    got = mixed(clashing, mix)
+    assert got.columns == clashing.columns
+    want_rows = Counter()
+    for (doc, source, _), n in want.items():
+        want_rows[doc, source] += n
+    assert Counter((r.doc_id, r.source) for r in got.collect()) == want_rows
+    assert Counter((r.doc_id, r.source, r["pass"]) for r in mixture(clashing, mix).collect()) == want
     assert {k[:2] for k in want} == {(r[0], r[2]) for r in rows}
     assert mixture(df.limit(0)).count() == 0
 
@@ -101,3 +106,16 @@ def test_salted_join_gives_the_same(spark, monkeypatch):
     before = sorted(map(tuple, mixture(docs).collect()))
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
     assert sorted(map(tuple, mixture(docs).collect())) == before
+
+
+def test_passes_are_permutations_of_blocks(spark):
+    docs = spark.createDataFrame([(i, "a b c", "x") for i in range(3000)] + [(i, "a", "y") for i in range(3000, 3300)], "doc_id long, text string, source string")
+    rows = mixture(docs, Mix(entropy=1.0, repeats=3.0, budget=None)).collect()
+    orders = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r.source, r["pass"], r.place)):
+        if not orders[r.source, r["pass"]] or orders[r.source, r["pass"]][-1] != r.block:
+            orders[r.source, r["pass"]].append(r.block)
+    assert all(len(set(o)) == len(o) for o in orders.values())  # a block's documents stand together
+    first, second = orders["y", 0], orders["y", 1]
+    assert set(first) >= set(second) and [b for b in first if b in set(second)] != second
+    assert abs(sum({r.source: r.weight for r in rows}.values()) - 1) < 1e-5
