@@ -134,24 +134,32 @@ def _riff(b: memoryview, at: int) -> int:
 
 def _gzip(b: memoryview, at: int) -> int:
     """Inflates to the end with checksum and length in order."""
-    d = zlib.decompressobj(31)
+    d, rest = zlib.decompressobj(31), b[at:]
     try:
-        d.decompress(b[at:])
+        while len(rest) and not d.eof:  # what it holds is not kept
+            d.decompress(rest, 1 << 20)
+            rest = d.unconsumed_tail
     except zlib.error:
         return 0
     return len(b) - at - len(d.unused_data) if d.eof else 0
 
 
-def _zip(b: memoryview, at: int) -> int:
-    """Local headers up to a central directory whose end record points back to them."""
-    raw = b.obj if isinstance(b.obj, bytes) else bytes(b)
-    end = raw.find(b"PK\x05\x06", at)
+def zip_archives(b: memoryview) -> dict[int, int]:
+    """Start and length of archives: an end record says where its directory and its first entry lie."""
+    raw, found = b.obj if isinstance(b.obj, bytes) else bytes(b), {}
+    end = raw.find(b"PK\x05\x06")
     while end >= 0 and end + 22 <= len(b):
         entries, size, offset, comment = struct.unpack_from("<HIIH", b, end + 10)
-        if at + offset + size == end and raw[at + offset : at + offset + 4] in (b"PK\x01\x02", b"PK\x05\x06") and end + 22 + comment <= len(b):
-            return end + 22 + comment - at if entries else 0
+        start, directory = end - size - offset, end - size
+        if start >= 0 and raw[directory : directory + 4] in (b"PK\x01\x02", b"PK\x05\x06") and end + 22 + comment <= len(b):
+            found.setdefault(start, end + 22 + comment - start if entries else 0)
         end = raw.find(b"PK\x05\x06", end + 4)
-    return 0
+    return found
+
+
+def _zip(b: memoryview, at: int) -> int:
+    """Local headers up to a central directory whose end record points back to them."""
+    return zip_archives(b).get(at, 0)
 
 
 def _pdf(b: memoryview, at: int) -> int:
@@ -227,13 +235,18 @@ class Sniffer:
         self.automaton.make_automaton()
 
     def __call__(self, payload: bytes) -> list[tuple[int, int, str]]:
-        view, found, tried = memoryview(payload), [], set()
+        view, found, tried, archives = memoryview(payload), [], set(), None
         for end, (_, back, kind) in self.automaton.iter(payload.decode("latin-1")):
             at = end - back
             if at < 0 or (at, kind) in tried:
                 continue
             tried.add((at, kind))
-            if length := VALIDATORS[kind](view, at):
+            if kind == "application/zip":  # looked up, so that many headers cost no more than one
+                archives = zip_archives(view) if archives is None else archives
+                length = archives.get(at, 0)
+            else:
+                length = VALIDATORS[kind](view, at)
+            if length:
                 name = RIFF_KINDS[bytes(view[at + 8 : at + 12])] if kind == "riff" else kind
                 found.append((at, length, name))
         return sorted(found, key=lambda f: (f[0], -f[1], f[2]))
@@ -270,8 +283,9 @@ def sniff(media: DataFrame, media_col: str = "media", declared_col: str | None =
         return pd.DataFrame(rows, columns=["media_type", "corrected", "carved"])
 
     declared = F.col(declared_col) if declared_col else F.lit(None).cast("string")
-    seen = media.withColumn("__seen", look(F.col(media_col), declared))
-    return seen.withColumns({c: F.col(f"__seen.{c}") for c in ("media_type", "corrected", "carved")}).drop("__seen")
+    added = ("media_type", "corrected", "carved")
+    seen = media.select(F.struct(*[F.col(f"`{c}`") for c in media.columns]).alias("row"), look(F.col(media_col), declared).alias("seen"))
+    return seen.select(*[F.col(f"row.`{c}`") for c in media.columns if c not in added], *[F.col(f"seen.{c}") for c in added])
 
 
 def wav_of(samples: bytes, rate: int = 8000) -> bytes:

@@ -78,3 +78,36 @@ def test_texts_come_back(spark):
         media = wav_of(payload)
         assert r.media_sha256 == hashlib.sha256(media).hexdigest() and r.media_bytes == len(media) and wav_samples(media) == payload
     assert text_media_features(df.limit(0)).count() == 0
+
+
+def test_feature_by_naive_search(spark):
+    from llm.media import RIFF_KINDS, SIGNATURES, VALIDATORS
+
+    inner = "BM and GIF89a and %PDF-1.4 x startxref 9 %%EOF and PK\x03\x04, ftyp; OggS " * 3 + "%PDF-1.7\nstartxref\n%%EOF"
+    rows = [(1, inner), (2, "plain"), (3, zipped().decode("latin-1")), (4, "")]
+    got = {r.doc_id: r.feature for r in text_media_features(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for doc, text in rows:
+        raw = text.encode()
+        media = wav_of(raw.ljust(max(192, -(-len(raw) // 192) * 192)))
+        found = set()
+        for magic, place, kind in SIGNATURES:
+            for at in range(len(media)):
+                if at - place >= 0 and media[at : at + len(magic)] == magic and (n := VALIDATORS[kind](memoryview(media), at - place)):
+                    found.add((at - place, -n, RIFF_KINDS[media[at + 8 : at + 12]] if kind == "riff" else kind))
+        assert got[doc] == ";".join(f"{k}@{s}+{-n}" for s, n, k in sorted(found))
+    assert "application/pdf" in got[1] and got[2] == "audio/wav@0+236"
+
+
+def test_many_headers_in_one_payload_are_cheap():
+    import time
+
+    start = time.perf_counter()
+    assert Sniffer()(b"PK\x03\x04 %PDF- " * 100_000) == []
+    assert Sniffer()(b"xx" + zipped() + zipped())[:2] == [(2, len(zipped()), "application/zip"), (2 + len(zipped()), len(zipped()), "application/zip")]
+    assert time.perf_counter() - start < 20
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, png(), 5, "old")], "row int, media binary, __seen int, media_type string")
+    got = sniff(df).first()
+    assert (got.row, got["__seen"], got.media_type) == (1, 5, "image/png")
