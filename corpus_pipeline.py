@@ -3,11 +3,12 @@
 Each stage takes the documents that the one before it kept, written as Parquet
 and read again, and all but the last return the columns of ``documents``:
 
-1. language: documents without a letter, or in no language that holds three
-   tenths of their letters, go.
+1. language: documents without a letter go, and those whose letters speak for no
+   language more than for the others.
 2. toxicity: documents that the classifier holds to be toxic go.
 3. near_duplicates: of each group of texts at a similarity of 0.8 or more on
-   shingles of five words, the document with the smallest id stays.
+   shingles of five words, the document with the smallest id stays.  Documents
+   that share an id, or have none, are told apart by their texts.
 4. mixing: sources are weighed by temperature; every document is taken at least
    once, and documents of small sources up to twice.
 5. packing: everything is packed into sequences of 2048 tokens.
@@ -40,7 +41,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixed(docs, Mix(entropy=1.0, repeats=2.0, budget=None)).drop("__pass", "__block")
+    return mixed(docs, Mix(entropy=1.0, repeats=2.0, budget=None))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
