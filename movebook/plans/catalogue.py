@@ -6,6 +6,8 @@ character of the priority is the move, and it ends well if its last status is F.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from ..operators import catalog as C
 from ..operators import identify as I
 from ..operators import line as L
 from ..operators import sequence as S
+from ..session import materialised, shared_dir
 from ..sources import bookfile, pgn
 
 
@@ -361,15 +364,12 @@ def chess_material(spark, sf_dir):
 
 
 def bookfile_roundtrip(spark, sf_dir):
-    """The tally written as a compact book file and read back."""
-    import tempfile
-
+    """The tally written as segments of a compact book file and read back; hashes of states stand for keys."""
     bookfile.register(spark)
-    rows = _book(spark, sf_dir, True).select(F.xxhash64("state").alias("pos_key"), F.col("move").cast("int").alias("move_idx"), "n")
-    path = f"{tempfile.mkdtemp(prefix='book-')}/games.book"
-    rows.coalesce(1).write.format("bookfile").mode("overwrite").save(path)
-    states = _book(spark, sf_dir, True).select(F.xxhash64("state").alias("pos_key"), "state").distinct()
-    back = spark.read.format("bookfile").load(path).join(states, "pos_key")
+    book = materialised(_book(spark, sf_dir, True).withColumn("pos_key", F.xxhash64("state")), "tally")
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/games-{uuid.uuid4().hex}"
+    bookfile.write_book(book.select("pos_key", F.col("move").cast("int").alias("move_idx"), "n"), path, 4)
+    back = spark.read.format("bookfile").load(path).join(book.select("pos_key", "state").distinct(), "pos_key")
     return back.select("state", F.col("move_idx").cast("string").alias("move"), "n")
 
 

@@ -15,13 +15,15 @@ def as_set(df):
     return {tuple(r) for r in df.collect()}
 
 
-def test_merge_fixtures(spark):
-    base = book(spark, [("10", "1", 5), ("20", "2", 1), ("20", "3", 9)])
-    delta = book(spark, [("20", "2", 4), ("20", "5", 1), ("15", "0", 2)])
-    got = B.merged(base, delta)
-    assert as_set(B.flattened(B.nested(got))) == {("10", 1, "1", 5), ("15", 1, "0", 2), ("20", 1, "3", 9), ("20", 2, "2", 5), ("20", 3, "5", 1)}
-    assert as_set(B.merged(delta, base)) == as_set(got) == as_set(B.merged(B.merged(base, delta)))
-    assert as_set(B.merged(base)) == as_set(base)
+def test_merging_sums_by_state_and_move(spark):
+    north = book(spark, [("a", "left", 2), ("a", "right", 7), ("b", "left", 1)])
+    south = book(spark, [("a", "left", 5), ("c", "stay", 3), ("b", "right", 1), ("a", "right", 0)])
+    got = B.merged(north, south)
+    assert as_set(got) == {("a", "left", 7), ("a", "right", 7), ("b", "left", 1), ("b", "right", 1), ("c", "stay", 3)}
+    # Equal counts go by move; a total is the sum over what was merged, in any order and grouping.
+    assert [(r.rank, r.move) for r in B.flattened(B.nested(got)).where("state in ('a', 'b')").orderBy("state", "rank").collect()] == [(1, "left"), (2, "right")] * 2
+    assert as_set(B.merged(south, B.merged(north))) == as_set(got)
+    assert as_set(B.merged(north, north).where("state = 'a'")) == {("a", "left", 4), ("a", "right", 14)}
 
 
 def test_lookup_of_nothing(spark):
