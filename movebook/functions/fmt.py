@@ -44,10 +44,13 @@ def compact_count(n: Column) -> Column:
 
 
 def month_label(month: Column) -> Column:
-    """2012-12 -> Dec 2012; anything else as it is."""
-    number = F.try_to_number(F.substring(month, 6, 2), F.lit("99")).cast("int")
-    name = F.element_at(F.array(*map(F.lit, MONTHS)), F.when(number.between(1, 12), number).otherwise(1))
-    return F.when(month.rlike("^[0-9]{4}-(0[1-9]|1[0-2])$"), F.concat(name, F.lit(" "), F.substring(month, 1, 4))).otherwise(month)
+    """2012-12, 2012-1 or 2012-12-05 -> Dec 2012, Jan 2012, Dec 2012; anything else as it is.
+
+    What stands before the first hyphen is the year, the number after it the month.
+    """
+    number = F.regexp_extract(month, "^[^-]*-\\s*0*([1-9]|1[0-2])\\s*(-.*)?$", 1)
+    name = F.try_element_at(F.array(*map(F.lit, MONTHS)), F.when(number != "", number.cast("int")))
+    return F.when(name.isNotNull(), F.concat(name, F.lit(" "), F.regexp_extract(month, "^([^-]*)-", 1))).otherwise(month)
 
 
 def _even_decimal(x: Column) -> Column:

@@ -76,7 +76,8 @@ def lookup(book: DataFrame, probes: DataFrame, n_probes: int | None = None, lega
     """``state, total, move, n, share, bar`` for each probed state; unknown ones give one row of total 0.
 
     The total is the sum over all recorded moves.  ``legal`` (a table of
-    moves) leaves out moves that do not resolve, after the total is made.
+    moves, or of states and their moves) leaves out moves that do not resolve,
+    after the total is made.
     """
     keys = probes.select("state").distinct()
     few = n_probes is not None and n_probes <= BROADCAST_PROBES
@@ -84,7 +85,8 @@ def lookup(book: DataFrame, probes: DataFrame, n_probes: int | None = None, lega
     told = hits.withColumn("total", F.sum("n").over(by_state()))
     if legal is not None:
         totals = told.groupBy("state").agg(F.first("total").alias("total"))
-        named = hits.join(legal.select("move").distinct(), "move", "left_semi")
+        on = [c for c in ("state", "move") if c in legal.columns]
+        named = hits.join(legal.select(*on).distinct(), on, "left_semi")
         told = totals.join(named, "state", "left")
     full = keys.join(told, "state", "left")
     top = F.max("n").over(by_state())

@@ -57,16 +57,34 @@ def listed(dumps: DataFrame, query: str = "") -> DataFrame:
 
 
 def matched(queries: DataFrame, dumps: DataFrame) -> DataFrame:
-    """``q, rank, tag``: tags that contain the query in any case; ``latest`` is the first entry alone."""
+    """``q, rank, tag`` and the queries' other columns: tags that contain the query in any case; ``latest`` is the first entry alone."""
     latest = F.lower("q") == "latest"
     hit = (latest & (F.col("rank") == F.col("first_rank"))) | (~latest & F.contains(F.lower("tag"), F.lower("q")))
     first = dumps.agg(F.min("rank").alias("first_rank")).first()[0]
-    return queries.join(F.broadcast(dumps.withColumn("first_rank", F.lit(first))), hit).select("q", "rank", "tag")
+    others = [c for c in queries.columns if c != "q"]
+    return queries.join(dumps.withColumn("first_rank", F.lit(first)), hit).select(*others, "q", "rank", "tag")
 
 
 def chosen(matches: DataFrame) -> DataFrame:
-    """Each tag once, in the order of the queries and then of the list."""
-    return matches.groupBy("tag").agg(F.min("rank").alias("rank"))
+    """``tag, seq, rank``: each tag once, at its place in the order of the queries (``seq``) and then of the list."""
+    return matches.groupBy("tag").agg(F.min(F.struct("seq", "rank")).alias("first")).select("tag", "first.seq", "first.rank")
+
+
+def to_download(matches: DataFrame, dumps: DataFrame, files: DataFrame) -> DataFrame:
+    """``tag, seq, rank, filename`` of what was chosen and is not there yet."""
+    return chosen(matches).join(dumps.select("tag", "filename"), "tag").join(files.select("filename"), "filename", "left_anti").select("tag", "seq", "rank", "filename")
+
+
+def read_dump_list(spark: SparkSession, path: str) -> DataFrame:
+    """``rank, tag, url, filename`` of a list file with one URL a line, newest first."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("rank", "url"))
+    return dump_list(lines)
+
+
+def folder_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``filename, size`` of the finished downloads in a folder of any file system; their contents are not read."""
+    listed = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("size"))
+    return listed.where(F.col("filename").endswith(".pgn") | F.col("filename").endswith(".pgn.zst"))
 
 
 def manifest_union(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -26,6 +26,23 @@ def forced(book: DataFrame) -> DataFrame:
     return one.where("k = 1").select("state", "move", "n")
 
 
+def doubled(steps_ahead: DataFrame, most: int | None = None) -> DataFrame:
+    """``state, to, steps``: where single steps ``state, to, steps`` lead in the end, or after ``most`` of them.
+
+    A line that comes back to itself has no end: jumps stop when they are as
+    long as there are steps, and then lead to a state that still has a step.
+    """
+    jump = materialised(steps_ahead, "jumps")
+    reach = longest = 1
+    last = jump.count()
+    while longest == reach and reach <= last and (most is None or 2 * reach <= most):
+        ahead = jump.select(F.col("state").alias("to"), F.col("to").alias("further"), F.col("steps").alias("more"))
+        jump = materialised(jump.join(ahead, "to", "left").select("state", F.coalesce("further", "to").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")), "jumps")
+        reach *= 2
+        longest = jump.agg(F.max("steps")).first()[0]
+    return jump
+
+
 def forced_playout(book: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
     """``start, end, steps, phase``: where forced moves lead from each start.
 
@@ -39,13 +56,7 @@ def forced_playout(book: DataFrame, starts: DataFrame, most: int | None = None)
     """
     edges = forced(book)
     ahead = edges.select("state", next_state(F.col("state"), F.col("move")).alias("to"), F.lit(1).alias("steps"))
-    jump = materialised(ahead.where("to <> state"), "jumps")
-    reach = longest = 1
-    while longest == reach and (most is None or 2 * reach <= most):
-        ahead = jump.select(F.col("state").alias("to"), F.col("to").alias("further"), F.col("steps").alias("more"))
-        jump = materialised(jump.join(ahead, "to", "left").select("state", F.coalesce("further", "to").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")), "jumps")
-        reach *= 2
-        longest = jump.agg(F.max("steps")).first()[0]
+    jump = doubled(ahead.where("to <> state"), most)
     played = starts.select(F.col("state").alias("start")).distinct().join(jump.withColumnRenamed("state", "start"), "start", "left")
     ends = played.select("start", F.coalesce("to", "start").alias("end"), F.coalesce("steps", F.lit(0)).alias("steps"))
     at_end = phases(book, ends.select(F.col("end").alias("state"))).select(F.col("state").alias("end"), "phase")
@@ -54,8 +65,8 @@ def forced_playout(book: DataFrame, starts: DataFrame, most: int | None = None)
 
 def history(plies: DataFrame, book: DataFrame, game: str) -> DataFrame:
     """``<game>, ply, state, move, n, total, choices`` of each ply, as the book knows them."""
-    totals = book.groupBy("state").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("choices"))
-    known = book.join(totals, "state")
+    state = Window.partitionBy("state")
+    known = book.select("state", "move", "n", F.sum("n").over(state).alias("total"), F.count(F.lit(1)).over(state).alias("choices"))
     none = F.lit(0).cast("long")
     told = plies.join(known, ["state", "move"], "left")
     return told.select(game, "ply", "state", "move", *[F.coalesce(c, none).alias(c) for c in ("n", "total", "choices")])

@@ -120,7 +120,8 @@ def book_merge_two(spark, sf_dir):
 
 def book_merge_many(spark, sf_dir):
     games = S.qualified(_sequences(spark, sf_dir), _ended())
-    return B.merged(*[B.tally(S.plies(games.where(F.col("o_custkey") % 4 == k), transposing=True)) for k in range(4)])
+    runs = S.plies(games.withColumn("run", F.col("o_custkey") % 4), ["run"], transposing=True).groupBy("run", "state", "move").agg(F.count(F.lit(1)).alias("n"))
+    return B.merged(runs)
 
 
 def _by_year(spark, sf_dir):
@@ -218,7 +219,7 @@ def _games(spark, sf_dir):
 
 def identify_unique(spark, sf_dir):
     games = _games(spark, sf_dir)
-    return I.identified(games.where("game % 10 = 0").select(F.col("game").alias("line"), "moves", "winner"), games)
+    return I.identified(games.select(F.col("game").alias("line"), "moves", "winner"), games)
 
 
 def identify_candidates(spark, sf_dir):
@@ -384,7 +385,9 @@ QUERIES = [
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in QUERIES}
+    from . import more
+
+    return {f.__name__: f for f in QUERIES + more.QUERIES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,6 +69,10 @@ g AS (SELECT * FROM (VALUES
 ORACLES = {
     "chess_replay": f"WITH {REPLAYED} SELECT event, verdict, CAST(n_plies AS INTEGER) AS n_plies, ending, winner, indices FROM g",
     "chess_kept_skipped": f"WITH {REPLAYED} SELECT 'embedded' AS source, CAST(count(*) FILTER (verdict = 'ok') AS BIGINT) AS kept, CAST(count(*) FILTER (verdict <> 'ok') AS BIGINT) AS skipped FROM g",
+    "chess_book": """WITH g AS (SELECT string_split(m, ',') AS m, k FROM (VALUES ('f2f3,e7e5,g2g4,d8h4', 4), ('e2e4,e7e5,f1c4,b8c6,d1h5,g8f6,h5f7', 1), ('g1f3,g8f6,f3g1,f6g8', 1),
+            ('e2e3,a7a5,d1h5,a8a6,h5a5,h7h5,a5c7,a6h6,h2h4,f7f6,c7d7,e8f7,d7b7,d8d3,b7b8,d3h7,b8c8,f7g6,c8e6', 1)) v(m, k)),
+            p AS (SELECT m[i] AS uci, array_to_string(m[1:i - 1], ',') AS prior, k FROM g, range(1, 30) t(i) WHERE i <= len(m))
+        SELECT uci, CAST(count(DISTINCT prior) AS BIGINT) AS positions, CAST(sum(k) AS BIGINT) AS n FROM p GROUP BY uci""",
     "chess_legal_index": """SELECT CAST(idx AS INTEGER) AS idx, uci, CASE WHEN uci IN ('b1a3', 'b1c3', 'g1f3', 'g1h3') THEN 'N' || substr(uci, 3) ELSE substr(uci, 3) END AS san
         FROM (SELECT i - 1 AS idx, ['b1a3', 'a2a3', 'b2b3', 'b1c3', 'c2c3', 'd2d3', 'e2e3', 'g1f3', 'f2f3', 'g2g3', 'g1h3', 'h2h3', 'a2a4', 'b2b4', 'c2c4', 'd2d4', 'e2e4', 'f2f4', 'g2g4', 'h2h4'][i] AS uci FROM range(1, 21) t(i))""",
     "chess_lookup": """SELECT * FROM (VALUES
@@ -131,7 +135,7 @@ ORACLES = {
         walk AS (
             SELECT DISTINCT state AS start, state AS reached, 0 AS steps FROM book WHERE len(string_split(state, '>')) = 4
             UNION ALL
-            SELECT start, reached || '>' || move, steps + 1 FROM walk JOIN k ON k.state = walk.reached WHERE choices = 1 AND steps < 128
+            SELECT start, reached || '>' || move, steps + 1 FROM walk JOIN k ON k.state = walk.reached WHERE choices = 1
         ), e AS (SELECT start, max(steps) AS steps, max_by(reached, steps) AS reached FROM walk GROUP BY start)
         SELECT start, reached AS "end", CAST(steps AS INTEGER) AS steps, CASE WHEN choices IS NULL THEN 'dry' WHEN choices = 1 THEN 'forced' ELSE 'choose' END AS phase FROM e LEFT JOIN k ON k.state = e.reached""",
     "phase_of_state": f"""WITH {PREFIX}, k AS (SELECT state, count(*) AS choices FROM book GROUP BY state),
@@ -148,7 +152,7 @@ ORACLES = {
                 sum(CASE WHEN (ply + o_custkey) % 2 = 0 OR ply = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY ply) AS row FROM q
         ) SELECT o_custkey, CAST(row AS BIGINT) AS row, max(move) FILTER (white) AS white, max(move) FILTER (NOT white) AS black FROM r GROUP BY o_custkey, row""",
     "identify_unique": f"""WITH {GAMES}, pass AS (SELECT o_custkey AS game, mstate AS state, move AS target FROM q WHERE ply <= 50),
-        l AS (SELECT game AS line, winner, array_to_string(list_sort(moves[1:least(len(moves) - 1, 49)]), '>') AS state, moves[least(len(moves) - 1, 49) + 1] AS target FROM g WHERE game % 10 = 0),
+        l AS (SELECT game AS line, winner, array_to_string(list_sort(moves[1:least(len(moves) - 1, 49)]), '>') AS state, moves[least(len(moves) - 1, 49) + 1] AS target FROM g),
         hit AS (SELECT l.line, p.game, CASE WHEN g.winner = l.winner THEN p.game END AS same FROM l LEFT JOIN pass p ON p.state = coalesce(l.state, '') AND p.target = l.target LEFT JOIN g ON g.game = p.game)
         SELECT line, CASE WHEN count(game) = 1 THEN min(game) WHEN count(same) = 1 THEN min(same) END AS game, count(game) = 1 AS exact FROM hit GROUP BY line""",
     "identify_candidates": f"""WITH {GAMES}, l AS (SELECT array_to_string(moves[1:3], '>') AS line, game, len(moves) AS n FROM g),
@@ -182,4 +186,6 @@ ORACLES = {
 
 
 def oracle_sql() -> dict:
-    return dict(ORACLES)
+    from . import more
+
+    return ORACLES | more.ORACLES

@@ -102,14 +102,14 @@ class Replayer:
                 if self.size < TREE:
                     children[san] = hit
                     self.size += 1
-            keys.append(position.__dict__.setdefault("key_", position.key))
+            keys.append(position.key)
             indices.append(hit[0])
             ucis.append(hit[1])
             node = hit[2]
         return "ok", keys, indices, ucis, node[0]
 
 
-REPLAYED = "source string, at bigint, nth int, headers map<string,string>, verdict string, n_plies int, ending string, winner string, keys array<bigint>, indices array<int>, ucis array<string>"
+REPLAYED = "source string, at bigint, nth int, headers map<string,string>, verdict string, n_plies int, ending string, winner string, keys array<bigint>, indices array<int>, ucis array<string>, final_key bigint, over boolean"
 
 
 def replayed(games: DataFrame, max_ply: int = 0, mode: str = "drop", any_ending: bool = False) -> DataFrame:
@@ -141,10 +141,10 @@ def replayed(games: DataFrame, max_ply: int = 0, mode: str = "drop", any_ending:
                     elif verdict == "ok" and not any_ending and last.ending == "none":
                         verdict = "unfinished"
                     ok = verdict == "ok"
-                    rows.append((source, at, nth, list(headers.items()), verdict, len(keys), last.ending if ok else None, line_winner(last) if ok else None, keys if ok else [], indices if ok else [], ucis if ok else []))
-            columns = list(zip(*rows)) or [()] * 11
-            kinds = [pa.string(), pa.int64(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["source", "at", "nth", "headers", "verdict", "n_plies", "ending", "winner", "keys", "indices", "ucis"])
+                    rows.append((source, at, nth, list(headers.items()), verdict, len(keys), last.ending if ok else None, line_winner(last) if ok else None, keys if ok else [], indices if ok else [], ucis if ok else [], last.key if ok else None, last.over if ok else None))
+            columns = list(zip(*rows)) or [()] * 13
+            kinds = [pa.string(), pa.int64(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["source", "at", "nth", "headers", "verdict", "n_plies", "ending", "winner", "keys", "indices", "ucis", "final_key", "over"])
 
     dealt = games.select("source", "at", "text").repartition(max(1, games.sparkSession.sparkContext.defaultParallelism))
     return dealt.mapInArrow(replay, REPLAYED)
@@ -229,3 +229,82 @@ def identify_lines(lines: DataFrame, games: DataFrame, depth: int = 49) -> DataF
     each = games.where("verdict = 'ok'").select(F.col("at").alias("game"), "winner", F.posexplode(F.arrays_zip("keys", "ucis")).alias("p", "m"))
     passing = each.where(F.col("p") <= depth).select("game", "winner", F.col("m.keys").alias("state"), F.col("m.ucis").alias("target"))
     return resolved(asked, passing).withColumnRenamed("game", "at")
+
+
+def playout(games: DataFrame, starts: DataFrame) -> DataFrame:
+    """``start, end, steps, phase`` of positions ``start`` (keys): where single known moves lead.
+
+    The phase is over where the game has ended on the board, dry without a
+    known move, choose with several, and cycle where single moves come back
+    to where they were.
+    """
+    from ..operators.line import doubled
+
+    ok = games.where("verdict = 'ok'")
+    after = F.concat(F.slice("keys", 2, F.size("keys")), F.array("final_key"))
+    steps = ok.select(F.explode(F.arrays_zip(F.col("keys"), F.col("indices"), after.alias("after"))).alias("m")).select(F.col("m.keys").alias("state"), F.col("m.indices").alias("move"), F.col("m.after").alias("to"))
+    known = steps.groupBy("state").agg(F.countDistinct("move").alias("choices"), F.min("to").alias("to"))
+    over = ok.where("over").select(F.col("final_key").alias("state"), F.lit(True).alias("over")).distinct()
+    marked = known.join(over, "state", "full").select("state", F.coalesce("choices", F.lit(0)).alias("choices"), "to", F.coalesce("over", F.lit(False)).alias("over"))
+    jump = doubled(marked.where("choices = 1 and not over").select("state", "to", F.lit(1).alias("steps")))
+    played = starts.select("start").distinct().join(jump.withColumnRenamed("state", "start"), "start", "left")
+    ends = played.select("start", F.coalesce("to", "start").alias("end"), F.coalesce("steps", F.lit(0)).alias("steps"))
+    told = ends.join(marked.select(F.col("state").alias("end"), "choices", "over"), "end", "left")
+    phase = F.when(F.col("over"), "over").when(F.coalesce("choices", F.lit(0)) == 0, "dry").when(F.col("choices") == 1, "cycle").otherwise("choose")
+    return told.select("start", "end", F.when(phase == "cycle", F.lit(None)).otherwise(F.col("steps")).alias("steps"), phase.alias("phase"))
+
+
+POSITION_FACTS = "error string, fen string, pos_key bigint, ending string, check_square string, result string, castling array<struct<packed:int,uci:string,san:string>>"
+
+
+def position_facts(fens: DataFrame) -> DataFrame:
+    """Adds ``facts`` to a table of ``fen``: the canonical FEN, key, ending, king in check, result's text and castling moves."""
+
+    @F.pandas_udf(POSITION_FACTS)
+    def look(column):
+        import pandas as pd
+
+        from ..functions.chess import IllegalPosition, InvalidFen, result_text
+
+        rows = []
+        for fen in column:
+            try:
+                p = Position.from_fen(fen or "")
+            except (InvalidFen, IllegalPosition) as e:
+                rows.append(("invalid FEN" if isinstance(e, InvalidFen) else "illegal position", None, 0, None, None, None, []))
+                continue
+            castling = [{"packed": m, "uci": p.uci(m), "san": p.san(m)} for m in p.legal if p.is_castling(m)]
+            rows.append((None, p.fen, p.key, p.ending, p.king_in_check, result_text(p), castling))
+        return pd.DataFrame(rows, columns=["error", "fen", "pos_key", "ending", "check_square", "result", "castling"])
+
+    return fens.withColumn("facts", look("fen"))
+
+
+def movetext_lines(lines: DataFrame) -> DataFrame:
+    """``line, plies, play, before_last, last`` of ``line, movetext``: UCI moves and the FEN before the last one.
+
+    All are null where a move can't be played.
+    """
+
+    @F.pandas_udf("plies int, play string, before_last string, last string")
+    def play(column):
+        import pandas as pd
+
+        rows = []
+        for text in column:
+            position = before = Position.from_fen(START)
+            ucis: list | None = []
+            for token in (text or "").split():
+                if token.endswith(".") or token in _RESULTS:
+                    continue
+                move = position.from_san(token.rstrip("!?"))
+                if move is None:
+                    ucis = None
+                    break
+                before = position
+                ucis.append(position.uci(move))
+                position = position.play(move)
+            rows.append((None, None, None, None) if ucis is None else (len(ucis), ",".join(ucis), before.fen, ucis[-1] if ucis else None))
+        return pd.DataFrame(rows, columns=["plies", "play", "before_last", "last"]).astype({"plies": "Int32"})
+
+    return lines.withColumn("told", play("movetext")).select("line", "told.*")

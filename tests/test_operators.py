@@ -1,6 +1,8 @@
 import pytest
+from movebook import config
 from movebook.functions import moves
 from movebook.operators import book as B
+from movebook.operators import build as U
 from movebook.operators import catalog as C
 from movebook.operators import line as L
 from movebook.operators import sequence as S
@@ -90,5 +92,53 @@ def test_manifest(spark, tmp_path):
     assert [r.filename for r in C.local_files(spark, str(tmp_path)).collect()] == ["x_2013-01.pgn"]
     assert C.local_files(spark, str(tmp_path / "gone")).count() == 0
     dumps = spark.createDataFrame([("2013-01", 0), ("2013-02", 1)], "tag string, rank int")
-    found = C.matched(spark.createDataFrame([("2013",), ("latest",)], "q string"), dumps)
-    assert as_set(C.chosen(found)) == {("2013-01", 0), ("2013-02", 1)} and C.listed(dumps, "02").count() == 1
+    found = C.matched(spark.createDataFrame([(0, "02"), (1, "2013"), (2, "latest")], "seq int, q string"), dumps)
+    assert as_set(C.chosen(found)) == {("2013-01", 1, 0), ("2013-02", 0, 1)} and C.listed(dumps, "02").count() == 1
+
+
+def test_cycles_have_no_end(spark):
+    steps = spark.createDataFrame([("a", "b", 1), ("b", "c", 1), ("c", "a", 1), ("x", "y", 1), ("y", "z", 1), ("in", "a", 1)], "state string, to string, steps int")
+    got = {r.state: (r.to, r.steps) for r in L.doubled(steps).collect()}
+    assert got["x"] == ("z", 2) and got["y"] == ("z", 1) and {got[s][0] for s in ("a", "b", "c", "in")} <= {"a", "b", "c"}
+
+
+def test_builds_count_what_is_named_and_resume_what_is_left(spark, tmp_path):
+    path = str(tmp_path / "p")
+    tallies = spark.createDataFrame([("one", "", "a", 2), ("two", "", "a", 3), ("two", "a", "b", 1)], "source string, state string, move string, n long")
+    names = lambda *n: spark.createDataFrame([(x, i) for i, x in enumerate(n)], U.SOURCES)
+    assert U.current_version(spark, path) is None and U.published(spark, path)[0].count() == 0
+    assert U.build(tallies, names("two"), path, files=1) == 1
+    assert U.build(tallies, names("one", "two"), path, files=1) == 2  # named again, counted again
+    book, sources = U.published(spark, path)
+    assert as_set(book) == {("", "a", 8), ("a", "b", 2)} and [r.filename for r in sources.orderBy("seq").collect()] == ["two", "one"]
+    with pytest.raises(ValueError):
+        U.build(tallies, names(), path)
+    with pytest.raises(ValueError):
+        U.resume(spark, path, names())
+    U.leave_run(B.tally(spark.createDataFrame([("", "z")], "state string, move string")), path, 7)
+    U.resume(spark, path, names("three"), files=1)
+    book, sources = U.published(spark, path)
+    assert as_set(book) == {("", "a", 8), ("a", "b", 2), ("", "z", 1)} and sources.count() == 3
+    with pytest.raises(ValueError):
+        U.resume(spark, path, names("three"))
+    U.build(tallies, names("one"), path, fresh=True, files=1)
+    assert as_set(U.published(spark, path)[0]) == {("", "a", 2)}
+
+
+def test_settings(tmp_path, monkeypatch):
+    monkeypatch.delenv("MOVEBOOK_CONFIG", raising=False)
+    file, deep = tmp_path / "config.toml", tmp_path / "a" / "b"
+    deep.mkdir(parents=True)
+    file.write_text('[storage]\ndownloads = "/d"\n[source]\nlist_url = "u"\n')
+    found = config.load(start=str(deep))
+    assert (found.book_path, found.serving_path, found.manifest_path(), found.manifest_path("/x/o.book"), found.list_url) == ("/d/known.book", "/d/known.book", "/d/known.book.sources", "/x/o.book.sources", "u")
+    other = tmp_path / "other.toml"
+    other.write_text('[storage]\nbook = "x"\n')
+    with pytest.raises(ValueError):
+        config.load(str(other))
+    other.write_text('[server]\nbook = "s"\n')
+    monkeypatch.setenv("MOVEBOOK_CONFIG", str(other))
+    assert config.load(start=str(deep)).serving_path == "s" and config.load(str(file)).downloads == "/d"
+    monkeypatch.delenv("MOVEBOOK_CONFIG")
+    with pytest.raises(FileNotFoundError):
+        config.load(start="/proc")
