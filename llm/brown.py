@@ -38,6 +38,8 @@ BLOCK_TOKENS = 2_000_000
 NEAR = 64
 #: Gains are whole multiples of this part of one.
 UNIT = 2**20
+#: Words that are broadcast to be counted; more of them are met by a shuffle.
+MOST_BROADCAST = 200_000
 #: Classes are bytes, and three of them are the end, the other words and the unseen.
 MOST_CLASSES = 253
 #: The token that ends a text; no word holds white space.
@@ -206,7 +208,9 @@ def frequent_words(blocks: DataFrame, most: int) -> list[bytes]:
         return []
     reached = first[-1].n if len(first) == most else 0
     share = max(1, -(-reached // blocks.count()))
-    wanted = some(lambda n: np.flatnonzero(n >= share)).select("word").distinct()
+    wanted = stored(some(lambda n: np.flatnonzero(n >= share)).select("word").distinct(), "wanted")
+    if wanted.count() <= MOST_BROADCAST:
+        wanted = F.broadcast(wanted)
     each = blocks.select(F.explode(F.arrays_zip("words", "train")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.train").alias("n")).where("n > 0")
     return [bytes(r.word) for r in top(each.join(wanted, "word", "left_semi"))]
 
